@@ -43,7 +43,10 @@ def byte_characters() -> list[str]:
 
 
 class WordBpe:
-    def __init__(self, path: str):
+    """shown: also remember each word's ids in decimal."""
+
+    def __init__(self, path: str, shown: bool = True):
+        self.shown = shown
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, end = spec["model"], spec["model"]["end_of_word_suffix"]
@@ -77,9 +80,10 @@ class WordBpe:
         starts = len(self.flat) + np.cumsum(lens) - lens
         for w in words:
             self.known[w] = len(self.known)
-        shown = list(map(str, flat.tolist()))
-        at = np.cumsum(lens).tolist()
-        self.digits += [" ".join(shown[a:b]) for a, b in zip([0, *at], at, strict=False)]
+        if self.shown:
+            shown = list(map(str, flat.tolist()))
+            at = np.cumsum(lens).tolist()
+            self.digits += [" ".join(shown[a:b]) for a, b in zip([0, *at], at, strict=False)]
         self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
         self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
 
@@ -132,7 +136,7 @@ class WordBpe:
         """Cache positions of the words of each text; unknown words are merged first."""
         if len(self.known) > CACHE_WORDS:
             self.forget()
-        new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in self.known]
+        new = list(set().union(*texts).difference(self.known))
         if new:
             self._add(new, *self.merge(new))
         get = self.known.__getitem__
@@ -143,6 +147,9 @@ class WordBpe:
         n = int(lens.sum())
         return self.flat[np.repeat(self.starts[index] - np.cumsum(lens) + lens, lens) + np.arange(n)]
 
+    def decimal(self, index: np.ndarray) -> list[str]:
+        return list(map(self.digits.__getitem__, index.tolist())) if self.shown else []
+
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
@@ -178,13 +185,13 @@ def encode_batch(bpe: WordBpe, texts: list[str | None]) -> list[tuple[np.ndarray
             for p in pieces(t):
                 (index,) = bpe.index([bpe.words(p)])
                 ids.append(bpe.ids(index))
-                shown += map(bpe.digits.__getitem__, index.tolist())
+                shown += bpe.decimal(index)
             out.append((np.concatenate(ids), shown))
         else:
             out.append(t or "")
     short = [k for k, t in enumerate(out) if isinstance(t, str)]
     for k, index in zip(short, bpe.index([bpe.words(out[k]) for k in short]), strict=True):
-        out[k] = (bpe.ids(index), list(map(bpe.digits.__getitem__, index.tolist())))
+        out[k] = (bpe.ids(index), bpe.decimal(index))
     return out
 
 

@@ -38,7 +38,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = F
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = WordBpe(path)
+        bpe = WordBpe(path, shown=False)
         for b in batches:
             texts = [x if isinstance(x, str) else None for x in b["text"]]
             for start, end in groups(texts):
