@@ -43,6 +43,21 @@ def crc_mod(doc_id: str, mod: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(mod))
 
 
+def hash_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """About the k rows with the least hash of doc_id for each value of key, k at most.
+
+    A first cut by hash keeps 4 k rows of a class on average, so that no task
+    ranks a whole class.
+    """
+    from pyspark.sql import Window
+
+    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    cut = rows.withColumn("_h", h).join(size, key).where(F.col("_h") * F.col("_size") <= 4 * k * (1 << 30))
+    first = Window.partitionBy(key).orderBy("_h", "doc_id")
+    return cut.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k).drop("_h", "_size", "_rn")
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], salt: str, out: str) -> DataFrame:
     """Gapless 0-based rank inside keys, without gathering a key in one task.
 

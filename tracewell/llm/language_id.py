@@ -6,8 +6,8 @@ letter becomes white space. A text is cut into CHUNK-byte pieces; every piece is
 compressed with every dictionary and the language with the smallest total wins.
 A winner whose margin over the second is under MARGIN is marked rejected.
 
-The sample (the only bound): SAMPLE_DOCS texts of a language with the least
-hash, at most SAMPLE_CHARS characters from each, DICT_BYTES bytes in all. Rows
+The sample (the only bound): SAMPLE_DOCS documents of a language with the
+least hash, at most SAMPLE_CHARS characters from each, DICT_BYTES bytes in all. Rows
 with crc32(doc_id as text) mod 4 = 2 are never learned from.
 
 Defined cases: null text or text without a letter gives und, score 0; with
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import crc_mod, table
+from tracewell.llm.common import crc_mod, hash_sample, table
 
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 4096
@@ -45,12 +45,10 @@ def folded(text: str) -> str:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Raw dictionary content by language, from a bounded sample."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("part"))
-    # row_number with a limit keeps SAMPLE_DOCS rows per task and language before the shuffle
-    first = Window.partitionBy("lang").orderBy("h", "part")
-    rows = rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= SAMPLE_DOCS)
+    chosen = hash_sample(rows.select("doc_id", "lang"), "lang", SAMPLE_DOCS).select("doc_id").distinct()  # SAMPLE_DOCS a language
+    rows = rows.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("part")).join(F.broadcast(chosen), "doc_id")
     found: dict[str, list] = {}
-    for r in rows.orderBy("lang", "rn").collect():
+    for r in sorted(rows.collect()):
         if r.part not in found.setdefault(r.lang, []):
             found[r.lang].append(r.part)
     # a dictionary's end is cheapest to refer to, and zstandard needs 8 bytes at least

@@ -29,11 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import crc_mod, table
+from tracewell.llm.common import crc_mod, hash_sample, table
 
 SAMPLE_DOCS = 1200
 SAMPLE_CHARS = 20_000
@@ -158,8 +158,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic): the bounded training sample."""
     rows = labels.where(F.col("toxic").isNotNull() & (crc_mod("doc_id", 5) != 0)).select("doc_id", "toxic")
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= SAMPLE_DOCS)
+    rows = hash_sample(rows, "toxic", SAMPLE_DOCS)
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # at most 2 * SAMPLE_DOCS rows
     short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
     return short.join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic")
