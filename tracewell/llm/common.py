@@ -33,6 +33,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame) -> DataFrame:
+    """docs with every column but doc_id and text renamed by its place, so that none can clash."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"_c{k}") for k, c in enumerate(docs.columns)])
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, by name and order, from what was made of shielded(docs)."""
+    return df.select(*[F.col(c if c in ("doc_id", "text") else f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,7 +63,7 @@ def hash_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
 
     size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    cut = rows.withColumn("_h", h).join(size, key).where(F.col("_h") * F.col("_size") <= 4 * k * (1 << 30))
+    cut = rows.withColumn("_h", h).join(F.broadcast(size), key)  # one row a class.where(F.col("_h") * F.col("_size") <= 4 * k * (1 << 30))
     first = Window.partitionBy(key).orderBy("_h", "doc_id")
     return cut.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k).drop("_h", "_size", "_rn")
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import SPACES, table
+from tracewell.llm.common import SPACES, restored, shielded, table
 
 MIN_WORDS = 50
 MIN_DOCS = 20
@@ -114,15 +114,18 @@ def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE
 
 
 def clean(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Kept documents, their frequent lines taken out; the columns of docs."""
-    kept = verdicts.where("kept").select("doc_id", "removed").dropDuplicates(["doc_id"])
-    joined = docs.join(kept.withColumnRenamed("removed", "_removed"), "doc_id")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    joined = joined.withColumn("text", text)
+    """Kept documents, their frequent lines taken out; the columns of docs.
+
+    Documents with a null doc_id cannot be matched to a verdict and go.
+    """
+    kept = verdicts.where("kept").select("doc_id", F.col("removed").alias("_lines")).dropDuplicates(["doc_id"])
+    joined = shielded(docs).join(kept, "doc_id")
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", i))
+    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    out = restored(joined.withColumn("text", text), docs)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,7 +218,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the least doc_id; the columns of docs."""
+    """One document of each component: the one with the least doc_id; the columns of docs.
+
+    Repeated rows of that document become one; documents with a null doc_id go.
+    """
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
