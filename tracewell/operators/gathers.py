@@ -85,7 +85,7 @@ def knn(points: DataFrame, k: int, cell: float) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "d2", "rank")
+    return out.select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "d2", F.col("rank").cast("long").alias("rank"))
 
 
 def merged_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:

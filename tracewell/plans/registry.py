@@ -390,3 +390,97 @@ def shift_robust_l1(spark, sf_dir):
     err = S.total(F.zip_with(x, y, lambda u, v: F.abs(u - v)))
     by = rows.select("ffid", "s", err.alias("e"), F.size(x).alias("n")).groupBy("ffid", "s").agg((F.sum("e") / F.sum("n")).alias("e"))
     return by.groupBy("ffid").agg(F.round(F.min("e"), 6).alias("loss"))
+
+
+@query(f"with {HDR}, g as (select file_id, ffid, count(*) as n, dense_rank() over (partition by file_id order by ffid) as r from hdr group by 1, 2) select a.file_id, a.ffid, sum(b.n)::bigint as traces, count(*) as gathers from g a join g b on a.file_id = b.file_id and abs(a.r - b.r) <= 1 group by 1, 2")
+def superwindow(spark, sf_dir):
+    g = trace_hdr(spark, sf_dir).groupBy(*GATHER).agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.dense_rank().over(Window.partitionBy("file_id").orderBy("ffid")))
+    near = g.select(*GATHER, F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1)).alias("r"))
+    return near.join(g.select("file_id", "r", "n"), ["file_id", "r"]).groupBy(*GATHER).agg(F.sum("n").alias("traces"), F.count(F.lit(1)).alias("gathers"))
+
+
+@query(f"with {HDR}, n as (select file_id, count(*) as n from hdr group by 1), d as (select file_id, n, unnest(generate_series(0, 3)) as i from n), u as (select *, ('0x' || substr(md5('11:' || file_id || ':' || i), 1, 8))::bigint / 4294967296.0 as u from d) select file_id, i, floor(u * n)::bigint as trace_idx, round(u, 6) as u from u")
+def random_draws(spark, sf_dir):
+    n = trace_hdr(spark, sf_dir).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    d = n.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("u", A.uniform(F.lit("11"), F.col("file_id"), F.col("i")))
+    return d.select("file_id", "i", F.floor(F.expr("u * n")).cast("long").alias("trace_idx"), _r("u"))
+
+
+@query(f"with {RANKED}, v as (select *, row_number() over (partition by file_id, ffid order by rank) as k, count(*) over (partition by file_id, ffid) as m, lead(fb) over (partition by file_id, ffid order by rank) as nx, lag(fb) over (partition by file_id, ffid order by rank) as pv from ranked where fb > 0) select file_id, ffid, trace_idx, case when k = 1 and abs(fb - nx) >= 100 then nx when k = m and abs(fb - pv) >= 100 then pv else fb end as fb from v")
+def edge_pick_repair(spark, sf_dir):
+    w = Window.partitionBy(*GATHER).orderBy("rank")
+    rows = _ranked(spark, sf_dir).where("fb > 0").select("*", F.row_number().over(w).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(*GATHER)).alias("m"), F.lead("fb").over(w).alias("nx"), F.lag("fb").over(w).alias("pv"))
+    fb = F.when((F.col("k") == 1) & (F.abs(F.expr("fb - nx")) >= 100), F.col("nx")).when((F.col("k") == F.col("m")) & (F.abs(F.expr("fb - pv")) >= 100), F.col("pv")).otherwise(F.col("fb"))
+    return rows.select(*GATHER, "trace_idx", fb.alias("fb"))
+
+
+@query(f"with {HDR}, s as (select file_id, trace_idx, fb, chno + 64 as start from hdr) select file_id, trace_idx, (case when fb > 0 and round_even(start + fb / 2, 0) between 1 and 255 then round_even(start + fb / 2, 0) else 0 end)::bigint as raw_pick, case when fb > 0 and fb % 3 > 0 then (fb - start) * 2 end as window_pick from s")
+def pick_mapping(spark, sf_dir):
+    s = trace_hdr(spark, sf_dir).withColumn("start", F.col("chno") + 64)
+    raw = F.rint(F.col("start") + F.col("fb") / 2)
+    return s.select("file_id", "trace_idx", F.when((F.col("fb") > 0) & raw.between(1, 255), raw).otherwise(0).cast("long").alias("raw_pick"), F.when((F.col("fb") > 0) & (F.col("fb") % 3 > 0), (F.col("fb") - F.col("start")) * 2).alias("window_pick"))
+
+
+@query(f"with {HDR}, c as (select file_id, trace_idx, fb, fb + line as fb2, (chno % 10) / 10.0 as c1, (trace_idx % 10) / 10.0 as c2 from hdr) select file_id, trace_idx, case when greatest(c1, c2) < 0.2 then 0 when c2 >= c1 then fb2 else fb end as pick from c")
+def confidence_select(spark, sf_dir):
+    c1, c2 = (F.col("chno") % 10) / 10.0, (F.col("trace_idx") % 10) / 10.0
+    pick = F.when(F.greatest(c1, c2) < 0.2, F.lit(0)).when(c2 >= c1, F.col("fb") + F.col("line")).otherwise(F.col("fb"))
+    return trace_hdr(spark, sf_dir).select("file_id", "trace_idx", pick.cast("long").alias("pick"))
+
+
+@query(f"with {WAVE}, g as (select trace_idx, t, case when trace_idx % 5 = 0 then 1.0::double else exp(-0.5::double * ((t * 0.004::double - offset_m / 5000.0::double) / 0.02::double) ** 2) end as g from wave) select trace_idx, t, round(g / sum(g) over (partition by trace_idx), 6) as prior from g")
+def trend_prior(spark, sf_dir):
+    g = F.when(F.col("trace_idx") % 5 == 0, F.lit(1.0)).otherwise(F.exp(-0.5 * ((F.col("t") * 0.004 - F.col("offset_m") / 5000.0) / 0.02) ** 2))
+    rows = trace_samples(spark, sf_dir).withColumn("g", g)
+    return rows.select("trace_idx", F.col("t").cast("long").alias("t"), F.round(F.col("g") / F.sum("g").over(Window.partitionBy("trace_idx")), 6).alias("prior"))
+
+
+@query(f"with {WAVE}, e as (select ffid, x - coalesce(lag(x) over (partition by trace_idx order by t), 0) as d from wave) select ffid, round(avg(abs(d)), 6) as l1, round(avg(d * d), 6) as l2, round(avg(case when abs(d) <= 0.1 then 0.5 * d * d else 0.1 * (abs(d) - 0.05) end), 6) as huber from e group by 1")
+def regression_errors(spark, sf_dir):
+    prior = F.coalesce(F.lag("x").over(Window.partitionBy("trace_idx").orderBy("t")), F.lit(0.0))
+    e = trace_samples(spark, sf_dir).select("ffid", (F.col("x") - prior).alias("d"))
+    huber = F.when(F.abs("d") <= 0.1, 0.5 * F.col("d") * F.col("d")).otherwise(0.1 * (F.abs("d") - 0.05))
+    return e.groupBy("ffid").agg(F.round(F.avg(F.abs("d")), 6).alias("l1"), F.round(F.avg(F.expr("d * d")), 6).alias("l2"), F.round(F.avg(huber), 6).alias("huber"))
+
+
+@query(f"with {PROB}, y as (select trace_idx, ffid, p, exp(-0.5::double * ((t - trace_idx % 64) / 3.0::double) ** 2) as g from prob), n as (select trace_idx, ffid, p, g / sum(g) over (partition by trace_idx) as g from y), c as (select trace_idx, ffid, -sum(g * ln(greatest(p, 1e-12::double))) as ce from n group by 1, 2) select ffid, round(avg(ce), 5) as ce from c where trace_idx % 7 <> 0 group by 1")
+def soft_label_ce(spark, sf_dir):
+    y = _prob(spark, sf_dir).where(F.col("trace_idx") % 7 != 0).withColumn("g", S.gaussian(F.col("trace_idx") % 64 + 1, 65, 3.0))
+    g = S.let(F.slice("g", F.lit(2), F.lit(64)), lambda a: S.let(S.total(a), lambda s: F.transform(a, lambda v: v / s)))
+    ce = -S.total(F.zip_with(g, "prob", lambda u, p: u * F.log(F.greatest(p, F.lit(1e-12)))))
+    return y.select("ffid", ce.alias("ce")).groupBy("ffid").agg(F.round(F.avg("ce"), 5).alias("ce"))
+
+
+NEAR = f"{WAVE}, r as (select trace_idx, ffid, row_number() over (partition by ffid order by trace_idx) as r from (select distinct trace_idx, ffid from wave)), w as (select wave.*, r.r from wave join r using (trace_idx, ffid))"
+
+
+def _neighbours(spark, sf_dir, steps):
+    """Each trace beside its gather neighbours at the given rank steps."""
+    rows = trace_wave(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("ffid").orderBy("trace_idx")))
+    want = rows.select("trace_idx", "ffid", "samples", F.explode(F.array(*[F.col("r") + k for k in steps])).alias("r"))
+    return want.join(rows.select("ffid", "r", F.col("samples").alias("other")), ["ffid", "r"])
+
+
+@query(f"with {NEAR} select a.trace_idx, a.t, round(quantile_cont(b.x, 0.5), 6) as y from w a join w b on a.ffid = b.ffid and a.t = b.t and abs(a.r - b.r) between 1 and 2 group by 1, 2")
+def reference_trace(spark, sf_dir):
+    near = _neighbours(spark, sf_dir, (-2, -1, 1, 2)).select("trace_idx", F.posexplode("other").alias("t", "x"))
+    return near.groupBy("trace_idx", "t").agg(F.round(F.percentile("x", 0.5), 6).alias("y")).select("trace_idx", F.col("t").cast("long").alias("t"), "y")
+
+
+@query(f"with {NEAR}, l as (select unnest(generate_series(-4, 4)) as lag), p as (select a.trace_idx, lag, sum(a.x * b.x) / greatest(sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 1e-12) as c from w a join w b on a.ffid = b.ffid and b.r = a.r + 1 join l on b.t = a.t + lag group by 1, 2) select trace_idx, arg_max(lag, (round(c, 9), -abs(lag), lag)) as lag, round(max(c), 6) as c from p group by 1")
+def lag_correlation(spark, sf_dir):
+    rows = _neighbours(spark, sf_dir, (1,)).select("trace_idx", "samples", "other", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("lag"))
+    n, k = F.size("samples"), F.col("lag")
+    x = F.when(k >= 0, F.slice("samples", F.lit(1), n - k)).otherwise(F.slice("samples", 1 - k, n + k))
+    y = F.when(k >= 0, F.slice("other", k + 1, n - k)).otherwise(F.slice("other", F.lit(1), n + k))
+    dot = lambda a, b: S.total(F.zip_with(a, b, lambda u, v: u * v))
+    c = dot(x, y) / F.greatest(F.sqrt(dot(x, x) * dot(y, y)), F.lit(1e-12))
+    best = rows.select("trace_idx", "lag", c.alias("c")).groupBy("trace_idx").agg(F.max_by("lag", F.struct(F.round("c", 9), -F.abs("lag"), "lag")).alias("lag"), F.max("c").alias("c"))
+    return best.select("trace_idx", F.col("lag").cast("long").alias("lag"), _r("c"))
+
+
+@query(f"with {RANKED}, m as (select file_id, ffid, arg_min(rank, (offset_m, rank)) as r from ranked group by 1, 2), s as (select r.file_id, case when rank < m.r then 'left' else 'right' end as side, offset_m as x, fb * 0.004::double as y from ranked r join m using (file_id, ffid) where fb > 0), w as (select file_id, side, count(*)::double as sw, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy from s group by 1, 2), f as (select *, case when sw * sxx - sx * sx > 1e-9 then (sw * sxy - sx * sy) / (sw * sxx - sx * sx) else 0 end as slope from w) select file_id, side, round(slope, 6) as slope, round((sy - slope * sx) / sw, 5) as intercept from f")
+def side_lines(spark, sf_dir):
+    rows = A.signed_offset(_ranked(spark, sf_dir), GATHER).where("fb > 0").withColumn("side", F.when(F.col("signed_offset") < 0, "left").otherwise("right"))
+    out = T.weighted_line(rows, ["file_id", "side"], F.col("offset_m"), F.col("fb") * 0.004, F.lit(1.0))
+    return out.select("file_id", "side", _r("slope"), F.round("intercept", 5).alias("intercept"))
