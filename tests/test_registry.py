@@ -42,7 +42,7 @@ def test_hysteresis_by_hand(spark):
 
     from tracewell.functions.signal import hysteresis
 
-    rows = spark.createDataFrame([([0.0, 2, 2, 2, 1.2, 0.1, 2, 2, 0, 0, 0, 2, 2],)], "a array<double>")
+    rows = spark.createDataFrame([([float(v) for v in (0, 2, 2, 2, 1, 0, 2, 2, 0, 0, 0, 2, 2)],)], "a array<double>")
     assert rows.select(hysteresis(F.col("a"), 1.5, 0.5, 2, 6)).first()[0] == [1, 11]
 
 
