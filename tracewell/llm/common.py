@@ -64,7 +64,7 @@ def hash_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
     size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     cut = rows.withColumn("_h", h).join(F.broadcast(size), key)  # one row a class
-    cut = cut.where(F.col("_h") * F.col("_size") <= 4 * k * (1 << 30))
+    cut = cut.where(F.col("_h").cast("double") * F.col("_size") <= float(4 * k * (1 << 30)))
     first = Window.partitionBy(key).orderBy("_h", "doc_id")
     return cut.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k).drop("_h", "_size", "_rn")
 
