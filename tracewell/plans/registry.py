@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.plans import catalog, gather_queries, pick_queries
+from tracewell.plans import catalog, event_queries, gather_queries, pick_queries
 
-MODULES = (gather_queries, pick_queries)
+MODULES = (gather_queries, pick_queries, event_queries)
 
 
 def queries() -> dict[str, catalog.Query]:
