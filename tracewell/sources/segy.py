@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TEXT, BINARY, TRACE = 3200, 400, 240
 #: Byte positions of trace header fields (from 1) and their widths.
@@ -58,3 +59,48 @@ def read(spark: SparkSession, path: str, big: bool = True, headers_only: bool =
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{sgy,segy}").load(path)
     return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def file_bytes(like: bytes, samples: np.ndarray, index: np.ndarray | None = None, dt_us: int | None = None, notes: list[str] | None = None, big: bool = True) -> bytes:
+    """A file with the headers of `like` and new samples, in its sample format if that is IEEE, else as IEEE.
+
+    index picks the traces kept (each once). notes replace the last lines of the
+    40 text lines. Sample count and step are set in all headers.
+    """
+    e = ">" if big else "<"
+    ns_in = int(np.frombuffer(like, e + "u2", 1, TEXT + 20)[0])
+    rows = np.frombuffer(like, np.uint8, offset=TEXT + BINARY).reshape(-1, TRACE + 4 * ns_in)
+    index = np.arange(len(rows)) if index is None else np.asarray(index)
+    if len(np.unique(index)) != len(index) or len(index) != len(samples):
+        raise ValueError("every trace needs one row of samples, once")
+    head = bytearray(like[: TEXT + BINARY])
+    for k, note in enumerate(reversed(notes or [])):
+        line = f"C{40 - k:2d} {note}"[:80].ljust(80)
+        head[TEXT - 80 * (k + 1) : TEXT - 80 * k] = line.encode("cp037" if like[:1] == b"\xc3" else "ascii", "replace")
+    step = dt_us or int(np.frombuffer(like, e + "u2", 1, TEXT + 16)[0])
+    for at, value in ((16, step), (20, samples.shape[1]), (24, 5)):
+        head[TEXT + at : TEXT + at + 2] = np.array([value], e + "u2").tobytes()
+    out = np.zeros((len(index), TRACE + 4 * samples.shape[1]), np.uint8)
+    out[:, :TRACE] = rows[index, :TRACE]
+    for at, value in ((114, samples.shape[1]), (116, step)):
+        out[:, at : at + 2] = np.frombuffer(np.array([value], e + "u2").tobytes(), np.uint8)
+    out[:, TRACE:] = np.ascontiguousarray(samples, e + "f4").view(np.uint8).reshape(len(index), -1)
+    return bytes(head) + out.tobytes()
+
+
+def like_input(spark: SparkSession, source: str, traces: DataFrame, notes: list[str] | None = None, big: bool = True) -> DataFrame:
+    """file, content: the source files with the samples of (file, trace_idx, samples) rows.
+
+    A file's traces meet its bytes in one task, as in reading. Files without
+    rows are left out; traces without a row are dropped from their file.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{sgy,segy}").load(source).select(F.col("path").alias("file"), "content")
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"file": [], "content": []})
+        right = right.sort_values("trace_idx")
+        samples = np.stack(right["samples"].to_list())
+        return pd.DataFrame({"file": [key[0]], "content": [file_bytes(left["content"].iloc[0], samples, right["trace_idx"].to_numpy(), notes=notes, big=big)]})
+
+    return files.groupBy("file").cogroup(traces.select("file", "trace_idx", "samples").groupBy("file")).applyInPandas(run, "file string, content binary")
