@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.signal import let, total
+from tracewell.operators.gathers import trace_windows
 
 
 def reference(x: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,3 +170,20 @@ def striped(rows: DataFrame, keys: list[str], band: int, score) -> DataFrame:
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "rank"])
     return each.groupBy(*keys, "band").applyInPandas(run, f"{kinds}, samples array<double>")
+
+
+def chunked(rows: DataFrame, keys: list[str], chunk: int, overlap: int, band: int, score) -> DataFrame:
+    """keys, rank, t, y: striped scores of overlapping chunks of rows, blended by hann on inner edges.
+
+    The last chunk is pulled back to the end. Rows hold rank, n and samples.
+    """
+    cut = trace_windows(rows, keys, chunk, chunk - overlap)
+    cut = cut.withColumn("_m", F.least(F.col("n"), F.lit(chunk).cast("long")))
+    done = striped(cut.select(*keys, "start", F.col("row").alias("rank"), F.col("_m").alias("n"), "samples"), [*keys, "start"], band, score)
+    size = cut.select(*keys, "start", F.col("row").alias("rank"), "n", "_m")
+    rise = F.greatest(0.5 - 0.5 * F.cos(2 * F.pi() * F.col("rank") / F.greatest(F.col("_m") - 1, F.lit(1))), F.lit(1e-3))
+    top = (F.col("start") > 0) & (F.col("rank") < overlap)
+    bottom = (F.col("start") + F.col("_m") < F.col("n")) & (F.col("rank") >= F.col("_m") - overlap)
+    weight = F.when(top, rise).otherwise(1.0) * F.when(bottom, rise).otherwise(1.0)
+    met = done.join(size, [*keys, "start", "rank"]).select(*keys, (F.col("start") + F.col("rank")).alias("rank"), weight.alias("_w"), F.posexplode("samples").alias("t", "_y"))
+    return met.groupBy(*keys, "rank", "t").agg((F.sum(F.expr("_w * _y")) / F.sum("_w")).alias("y"))

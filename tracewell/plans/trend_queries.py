@@ -75,3 +75,16 @@ def striped_scoring(spark, sf_dir):
     rows = _tiles(spark, sf_dir)
     out = R.striped(rows, ["ffid", "tile"], 2, _row_mean).join(rows.select("ffid", "tile", "rank", "trace_idx"), ["ffid", "tile", "rank"])
     return _long(out, "samples", "trace_idx")
+
+
+@query(f"""with {WAVE}, r as (select vec_id as trace_idx, row_number() over (partition by label order by vec_id) - 1 as r from embeddings), w as (select wave.*, r // 32 as tile, r % 32 as rank from wave join r using (trace_idx)),
+n as (select ffid, tile, max(rank) + 1 as n from w group by 1, 2), s as (select distinct ffid, tile, n, s as start from n, lateral (select unnest(list_concat(generate_series(0, greatest(n - 16, 0), 8), [greatest(n - 16, 0)])) as s)),
+c as (select w.*, n, start, rank - start as i, least(n, 16) as m from w join s using (ffid, tile) where rank between start and start + 15),
+y as (select a.ffid, a.tile, a.trace_idx, a.t, a.start, a.i, a.n, a.m, coalesce(sum(b.x), 0) / 3 as y from c a left join c b on a.ffid = b.ffid and a.tile = b.tile and a.start = b.start and a.t = b.t and abs(a.i - b.i) = 1 group by all),
+h as (select *, greatest(0.5 - 0.5 * cos(2 * pi() * i / greatest(m - 1, 1)), 1e-3) as h from y),
+v as (select *, case when start > 0 and i < 8 then h else 1 end * case when start + m < n and i >= m - 8 then h else 1 end as w from h)
+select trace_idx, t, round(sum(w * y) / sum(w), 6) as y from v group by 1, 2""")
+def chunked_scoring(spark, sf_dir):
+    rows = _tiles(spark, sf_dir).drop("r")
+    out = R.chunked(rows, ["ffid", "tile"], 16, 8, 1, _row_mean).join(rows.select("ffid", "tile", "rank", "trace_idx"), ["ffid", "tile", "rank"])
+    return out.select("trace_idx", F.col("t").cast("long").alias("t"), rounded("y"))
