@@ -2,9 +2,8 @@
 
 Document labels become token labels: a token of a toxic document is toxic if its
 word is tied to toxic documents (document-frequency likelihood ratio, and found
-in MIN_SHARE of them at least). The chain
-has two states, word weights and transition weights, and a clean virtual token
-at both ends. Forward-backward marginals give each token its probability; a
+in MIN_DOCS of them at least, whatever the sample's size). The chain has two states, word
+weights and transition weights, and a clean virtual token at both ends. Forward-backward marginals give each token its probability; a
 logistic curve over their sum and maximum gives the document's score, and tokens
 of 0.5 or more the offending character offsets.
 
@@ -40,7 +39,7 @@ SAMPLE_CHARS = 20_000
 VOCABULARY = 20_000
 MIN_RATIO = 6.0
 MIN_G2 = 25.0
-MIN_SHARE = 0.04
+MIN_DOCS = 3
 ROUNDS = 60
 BLOCK = 128
 #: Characters scored at once.
@@ -181,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Chain | None:
         p, q = df[1][w], df[0][w]
         ratio = ((p + 0.5) / (n[1] + 1)) / ((q + 0.5) / (n[0] + 1))
         g2 = sum(2 * c * np.log(c * n.sum() / ((p + q) * m)) for c, m in ((p, n[1]), (q, n[0])) if c)
-        if ratio >= MIN_RATIO and g2 >= MIN_G2 and p >= max(3, MIN_SHARE * n[1]):
+        if ratio >= MIN_RATIO and g2 >= MIN_G2 and p >= MIN_DOCS:
             tied.add(w)
     index = {w: k + 1 for k, w in enumerate(kept)}
     lens = np.array([len(t) for t in texts])
