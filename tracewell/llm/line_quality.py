@@ -26,7 +26,7 @@ from tracewell.llm.common import SPACES, restored, shielded, table
 
 MIN_WORDS = 50
 MIN_DOCS = 20
-SHARE = 0.15
+SHARE = 0.01
 MAX_LOSS = 0.7
 SALTS = 32
 
