@@ -153,14 +153,14 @@ def same_windows(groups: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def _sort_group(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """The stretch of each run that repeated windows cover; the runs not wholly covered."""
+    """The stretch of each run that repeated windows cover; the runs with a window that repeats none."""
     b = b.sort_values(["gram", "doc_id", "place"], kind="stable", ignore_index=True)
     lead, tail, gram = b["lead"].to_numpy(np.int64), b["tail"].to_numpy(np.int64), b["gram"].to_numpy()
     raw = b["raw"].tolist()
     buf = np.frombuffer(b"".join(raw) + bytes(LENGTH), np.uint8)
     size = np.array([len(x) for x in raw], np.int64)
     start = np.cumsum(size) - size
-    most, least = np.full(len(b), -1), np.full(len(b), LENGTH)
+    most, least, repeated = np.full(len(b), -1), np.full(len(b), LENGTH), np.zeros(len(b), np.int64)
     view = np.lib.stride_tricks.sliding_window_view(buf, LENGTH)
     for o in range(LENGTH - GRAM + 1):  # windows that begin o bytes before the gram
         idx = np.flatnonzero((lead >= o) & (tail <= o))
@@ -174,10 +174,11 @@ def _sort_group(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         again = idx[same_windows(gram[idx], view[start[idx] + lead[idx] - o])]
         most[again] = np.maximum(most[again], o)
         least[again] = np.minimum(least[again], o)
+        repeated[again] += 1
     hit = most >= 0
     place = b["place"].to_numpy()[hit]
     found = pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[hit], "a": place - most[hit], "z": place - least[hit] + LENGTH})
-    return found, b[~((most == lead) & (least == tail))]
+    return found, b[repeated < lead - tail + 1]
 
 
 def _by_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
