@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import SPACES, restored, shielded, table
+from tracewell.llm.common import SPACES, materialize, restored, shielded, table
 
 MIN_WORDS = 50
 MIN_DOCS = 20
@@ -128,6 +128,17 @@ def clean(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return out
 
 
+def clean_rows(docs: DataFrame) -> DataFrame:
+    """Kept rows of docs, cleaned; told apart by an id written once, whatever their doc_id."""
+    given = F.struct(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(docs.columns)])
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", "source", given.dropFields(f"_c{docs.columns.index('text')}").alias("_given")), "rows")
+    out = clean(rows, line_quality(rows))
+    fresh = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[fresh.get(c, F.col("_given")[f"_c{k}"]).alias(c) for k, c in enumerate(docs.columns)])
+
+
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed_lines"))
