@@ -10,8 +10,11 @@ The vocabulary file is a tokenizers JSON file (path is a parameter): NFC, lower
 case, a split pattern, bytes shown as characters and a word-end suffix.
 
 Defined cases: null and empty texts give no ids and an empty decoded text;
-repeated rows give equal rows; long texts are cut at ASCII white space, where no
-token can span, and are encoded whole.
+repeated rows give equal rows; a null doc_id stays null, and rows that share one
+are encoded each by its own text; very long texts are cut at ASCII white space,
+where no token can span, and are encoded whole; of equal ranks the leftmost pair
+merges first; an empty table gives an empty result; other columns of docs are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,14 +23,13 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm.common import table
+from tracewell.llm.common import map_texts, table
 
 NONE = np.iinfo(np.int32).max
 CACHE_WORDS = 200_000
@@ -197,23 +199,23 @@ def encode_batch(bpe: WordBpe, texts: list[str | None]) -> list[tuple[np.ndarray
 
 def tokenize(docs: DataFrame, path: str, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """Digests of the ids and of the text decoded from them; keep_* adds these themselves."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare() -> Callable:
         bpe = WordBpe(path)
-        for b in batches:
-            texts = [x if isinstance(x, str) else None for x in b["text"]]
+
+        def work(texts: list[str | None]) -> tuple[None, list]:
+            rows = []
             for start, end in groups(texts):
-                rows = []
                 for ids, shown in encode_batch(bpe, texts[start:end]):
                     text = bpe.decode(ids)
                     row = (len(ids), hashlib.sha256(" ".join(shown).encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
                     rows.append(row + (ids,) * keep_ids + (text,) * keep_text)
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")[1:]])
-                out.insert(0, "doc_id", b["doc_id"].iloc[start:end].to_numpy())
-                yield out
+            return None, [[r[k] for r in rows] for k in range(3 + keep_ids + keep_text)]
+
+        return work
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return map_texts(docs, ["doc_id"], prepare, made)
 
 
 def vocabulary() -> str:

@@ -1,15 +1,24 @@
-"""What the corpus operators share: table access, lineage cuts, small column helpers."""
+"""What the corpus operators share: table access, lineage cuts, text maps, small column helpers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Word separators of every word count here: ASCII white space only.
 SPACES = " \t\n\x0b\x0c\r"
+#: Characters handed to a text function at once.
+CHARS = 4_000_000
+#: Folders written since a scratch block began; None outside of one.
+_written: list[str] | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,22 +26,87 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share; a temporary one only for a local master that has none set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    path = f"{shared_dir(spark)}/tracewell/{tag}-{uuid.uuid4().hex}"
+    if _written is not None:
+        _written.append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more, wherever they are stored."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that operators write inside the block go at its end: results must be stored by then."""
+    global _written
+    outer, _written = _written, []
+    try:
+        yield
+    finally:
+        mine, _written = _written, outer
+        remove(spark, *mine)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(docs: DataFrame, keep: list[str], prepare: Callable[[], Callable], made: str, look: tuple[str, ...] = ()) -> DataFrame:
+    """The columns to keep, and columns made (a DDL list) from the texts of docs.
+
+    prepare() is called once a task and returns work(texts), which returns
+    (positions, columns): for each row made, the position of its text, or None
+    for one row a text, and a list of values for each column made. Kept columns
+    stay Arrow data, so nulls and large integers come through as they are. Columns
+    to look at go to work as Arrow arrays behind the texts. Texts are handed over
+    in parts of about CHARS characters.
+    """
+    fields = T._parse_datatype_string(made).fields
+    types = [to_arrow_type(f.dataType) for f in fields]
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("t"), *[F.col(c).alias(f"l{i}") for i, c in enumerate(look)])
+    outer = T.StructType([T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField(f"m{i}", f.dataType) for i, f in enumerate(fields)])
+    n_keep = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = prepare()
+        for b in batches:
+            texts, start, size = b.column(n_keep).to_pylist(), 0, 0
+            for end, t in enumerate(texts, 1):
+                size += len(t or "")
+                if size < CHARS and end < len(texts):
+                    continue
+                positions, columns = work(texts[start:end], *(b.column(n_keep + 1 + i).slice(start, end - start) for i in range(len(look))))
+                kept = [b.column(i).slice(start, end - start) for i in range(n_keep)]
+                if positions is not None:
+                    at = pa.array(positions, pa.int64())
+                    kept = [c.take(at) for c in kept]
+                data = [pa.array(c, ty) for c, ty in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(kept + data, outer.names)
+                start, size = end, 0
+
+    out = inner.mapInArrow(run, outer)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"m{i}").alias(f.name) for i, f in enumerate(fields)])
+
+
 def shielded(docs: DataFrame) -> DataFrame:
     """docs with every column but doc_id and text renamed by its place, so that none can clash."""
     return docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"_c{k}") for k, c in enumerate(docs.columns)])

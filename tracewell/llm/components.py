@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialize
+from tracewell.llm.common import materialize, remove
 
 MAX_ROUNDS = 60
 
@@ -30,13 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges has long columns u, v, u <> v; nodes without a link have no row. Each
     round is written to the shared folder; the rounds grow with the logarithm of
-    the component's size. Stars of a hub are joined on the hub; only its
+    the component's size, and a round's folder goes when the next is written. Stars of a hub are joined on the hub; only its
     neighbours are moved, and adaptive execution splits such a key.
     """
     now = materialize(edges.distinct(), "links")
     state = None
     for _ in range(MAX_ROUNDS):
-        now = materialize(_small_star(_large_star(now)), "links")
+        last, now = now, materialize(_small_star(_large_star(now)), "links")
+        remove(edges.sparkSession, *{f.rpartition("/")[0] for f in last.inputFiles()})
         sums = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (sums.n, sums.h) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

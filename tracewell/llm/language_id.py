@@ -6,29 +6,32 @@ letter becomes white space. A text is cut into CHUNK-byte pieces; every piece is
 compressed with every dictionary and the language with the smallest total wins.
 A winner whose margin over the second is under MARGIN is marked rejected.
 
-The sample (the only bound): SAMPLE_DOCS documents of a language with the
-least hash, at most SAMPLE_CHARS characters from each, DICT_BYTES bytes in all. Rows
-with crc32(doc_id as text) mod 4 = 2 are never learned from.
+The sample (the only bound): SAMPLE_DOCS documents of a language with the least
+hash, SAMPLE_CHARS characters in a row of each (of shorter texts all); the
+dictionary has DICT_BYTES bytes, shared evenly by these parts. Rows with
+crc32(doc_id as text) mod 4 = 2 are never learned from.
 
 Defined cases: null text or text without a letter gives und, score 0; with
-nothing to learn from, every row is und; equal texts get equal answers; ties go
-to the first language by name; long texts are compressed whole.
+nothing to learn from (an empty table too), every row is und; repeated rows and
+equal texts get equal answers; a null doc_id stays null and is not learned from,
+and rows that share one are judged each by its own text; ties go to the first
+language by name; very long texts are compressed whole; other columns of docs
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import crc_mod, hash_sample, table
+from tracewell.llm.common import crc_mod, hash_sample, map_texts, table
 
-SAMPLE_DOCS = 96
-SAMPLE_CHARS = 4096
+SAMPLE_DOCS = 64
+SAMPLE_CHARS = 1024
 DICT_BYTES = 1 << 16
 CHUNK = 4096
 #: zstandard's parameters: short matches count, small tables keep a piece cheap.
@@ -44,15 +47,19 @@ def folded(text: str) -> str:
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Raw dictionary content by language, from a bounded sample."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2))
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != 2))
     chosen = hash_sample(rows.select("doc_id", "lang"), "lang", SAMPLE_DOCS).select("doc_id").distinct()  # SAMPLE_DOCS a language
-    rows = rows.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("part")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # of rows that share an id one
+    # a part from the middle of the text, at a place that depends on the text alone
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    rows = rows.select("lang", "doc_id", F.substring("text", F.pmod(F.hash("text"), room + 1) + 1, F.lit(SAMPLE_CHARS)).alias("part"))
     found: dict[str, list] = {}
     for r in sorted(rows.collect()):
-        if r.part not in found.setdefault(r.lang, []):
-            found[r.lang].append(r.part)
-    # a dictionary's end is cheapest to refer to, and zstandard needs 8 bytes at least
-    return {k: "\n".join(map(folded, v)).encode("utf-8", "replace")[-DICT_BYTES:].rjust(8) for k, v in sorted(found.items())}
+        part = folded(r.part).encode("utf-8", "replace")
+        if part not in found.setdefault(r.lang, []):
+            found[r.lang].append(part)
+    # every part gets an equal share of the dictionary; zstandard needs 8 bytes at least
+    return {k: b"\n".join(x[: DICT_BYTES // len(v)] for x in v).rjust(8) for k, v in sorted(found.items())}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
@@ -60,7 +67,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     names = list(dictionaries)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare() -> Callable:
         import zstandard
 
         packers = []
@@ -81,12 +88,14 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             margin = float((rest.min() - size[best]) / rest.min()) if len(rest) else 1.0
             return names[best], float(1 / (1 + np.exp(-40 * margin))), margin < MARGIN
 
-        for b in batches:
-            out = pd.DataFrame([judge(t) for t in b["text"]], columns=["lang_pred", "score", "rejected"], index=b.index)
-            yield pd.concat([b[["doc_id", "held_out"]], out], axis=1)
+        def work(texts: list[str | None]) -> tuple[None, list]:
+            rows = [judge(t) for t in texts]
+            return None, [[r[k] for r in rows] for k in range(3)]
+
+        return work
 
     rows = docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_texts(rows, ["doc_id", "held_out"], prepare, "lang_pred string, score double, rejected boolean")
 
 
 def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,12 @@ is a peak if no frame within REACH is stronger there. Each peak is paired with
 the FAN peaks that follow within SPAN frames; a pair is stored as one long
 (frame, both bins, distance): the time-coded array.
 
-Defined cases: null text counts as empty and gives one block of padding; equal
-texts give equal rows; a text of any length is transformed block by block.
+Defined cases: null and empty texts give one block of padding; equal texts and
+repeated rows give equal rows; a null doc_id stays null, and rows that share one
+are described each by its own text; of equally strong bins the lowest is the
+peak, and equally strong frames are peaks both; a text of any length is
+transformed block by block; an empty table gives an empty result; other columns
+of docs are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +21,13 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import table
+from tracewell.llm.common import map_texts, table
 
 BLOCK = 576
 HOP = 288
@@ -100,21 +103,20 @@ def media_columns(docs: DataFrame, keep_media: bool = False, keep_codes: bool =
 
     keep_media adds the WAV bytes, keep_codes the time-coded array.
     """
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "codes"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema += ", media binary" * keep_media + ", codes array<long>" * keep_codes
-    drop = [x for x, keep in (("media", keep_media), ("codes", keep_codes)) if not keep]
+    made = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    made += ", media binary" * keep_media + ", codes array<long>" * keep_codes
+    places = [*range(7), *[7] * keep_media, *[8] * keep_codes]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                out = pd.DataFrame([describe(x) for x in part["text"]], columns=names, index=part.index)
-                yield pd.concat([part[["doc_id"]], out.drop(columns=drop)], axis=1)
+    def prepare() -> Callable:
+        def work(texts: list[str | None]) -> tuple[None, list]:
+            rows = [describe(t) for t in texts]
+            return None, [[r[k] for r in rows] for k in places]
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+        return work
+
+    return map_texts(docs, ["doc_id"], prepare, made)
 
 
 def op2_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media_columns(table(spark, sf_dir, "documents"), keep_codes=True)
-    return out.withColumn("n_pairs", F.size("codes").cast("long")).drop("codes")
+    return out.withColumn("n_pairs", F.size("codes").cast("long"))

@@ -12,13 +12,17 @@ Ranks are taken inside (length, input partition) and offset by counts, so no
 length gathers in one task. Pieces of full length need no plan.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are
-packed each; an empty table packs nothing.
+packed each, as are rows that share a doc_id, and a null doc_id stays null; of
+equally long pieces any may take any of their places, and of equally tight pairs
+the one with the longest piece is taken; a text of any length is cut into full
+pieces and a rest; an empty table packs nothing; other columns of docs are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.bpe import WordBpe, encode_batch, groups, vocabulary
-from tracewell.llm.common import materialize, salted_rank, table
+from tracewell.llm.common import map_texts, materialize, salted_rank, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -34,23 +38,24 @@ END_ID = 0
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and the ids)."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    names = [x.split()[0] for x in schema.split(", ")]
+    made = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare() -> Callable:
         bpe = WordBpe(path, shown=False)
-        for b in batches:
-            texts = [x if isinstance(x, str) else None for x in b["text"]]
+
+        def work(texts: list[str | None]) -> tuple[list[int], list]:
+            rows = []
             for start, end in groups(texts):
-                rows = []
-                for doc, (ids, _) in zip(b["doc_id"].iloc[start:end], encode_batch(bpe, texts[start:end]), strict=True):
+                for n, (ids, _) in enumerate(encode_batch(bpe, texts[start:end]), start):
                     ids = np.append(ids, END_ID).astype("<u4")
                     for k in range(0, len(ids), capacity):
                         part = ids[k : k + capacity]
-                        rows.append((doc, k // capacity, k, len(part), zlib.crc32(part.tobytes())) + (part.astype(np.int32),) * keep_ids)
-                yield pd.DataFrame(rows, columns=names)
+                        rows.append((n, k // capacity, k, len(part), zlib.crc32(part.tobytes())) + (part.astype(np.int32),) * keep_ids)
+            return [r[0] for r in rows], [[r[k] for r in rows] for k in range(1, 5 + keep_ids)]
+
+        return work
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return map_texts(docs, ["doc_id"], prepare, made)
 
 
 class Lengths:
