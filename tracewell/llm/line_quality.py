@@ -1,34 +1,35 @@
 """Operator 1: quality rules by cross-document line frequency.
 
 Lines are normalised (ASCII lower case, digits to 0, white space folded) and
-hashed. For each host (the column source) the documents that hold a line are
-counted; equal texts on one host count as one document, so a document that was
-merely copied does not turn its own lines into boilerplate. A line found in more
-than max(min_docs, share * documents of the host) documents is removed. A
-document that loses more than max_loss of its words is depleted and rejected.
+hashed. For each host (the column source) the documents (rows) that hold a line
+are counted. A line found in more than max(min_docs, share * documents of the
+host) documents is removed. A document that loses more than max_loss of its
+words is depleted and rejected. With once_per_text equal texts of one host count
+as one document, so that a page copied word for word is no boilerplate.
 
 Defined cases: null text has no word, fails the base rules and is rejected; an
 empty line or a line without a word is never counted or removed; a null host is
-a host of its own; repeated rows get equal verdicts; an empty table gives an
-empty result. doc_id should be unique: rows that share one are judged alike.
+a host of its own; repeated rows are documents each and get equal verdicts; rows
+that share a doc_id but not a text are judged each by its own text; a null
+doc_id stays null; a count equal to a limit removes nothing (ties stay); very
+long texts are read whole; an empty table gives an empty result; other columns
+of docs are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import SPACES, materialize, restored, shielded, table
+from tracewell.llm.common import SPACES, map_texts, materialize, partitions, restored, shielded, table
 
 MIN_WORDS = 50
 MIN_DOCS = 20
 SHARE = 0.01
 MAX_LOSS = 0.7
-SALTS = 32
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -60,17 +61,22 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    for b in batches:
-        found = [base_counts(t) for t in b["text"]]
-        yield pd.concat([b[["doc_id"]], pd.DataFrame(found, columns=names, index=b.index, dtype="int64")], axis=1)
+def _measure() -> Callable:
+    return lambda texts: (None, list(np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5).T))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source, and what tells rows apart: _none, _id, _hash (equal for repeated rows alone)."""
+    source = F.coalesce("source", F.lit(""))
+    return docs.select("doc_id", "text", source.alias("source"), F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text", source).alias("_hash"))
+
+
+KEY = ["_none", "_id", "_hash"]
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """One row per document: the base counts and base_failed."""
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    counts = docs.select("doc_id", "text").mapInPandas(_measure, schema)
+    """One row per document: the key of the row, the base counts and base_failed."""
+    counts = map_texts(keyed(docs), ["doc_id", *KEY], _measure, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counts.withColumn("base_failed", failed)
 
@@ -81,51 +87,49 @@ def line_key(line: Column) -> Column:
     return F.when(folded != "", F.xxhash64(folded))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, once_per_text: bool = False) -> DataFrame:
     """(source, line): lines above the limit of their host."""
-    text = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("t"), "text").where("text is not null")
-    size = text.select("source", "t").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    keys = F.filter(F.array_distinct(F.transform(F.split("text", "\n"), line_key)), lambda x: x.isNotNull())
-    seen = text.select("source", "t", F.explode(keys).alias("line")).distinct()
+    rows = keyed(docs).where("text is not null")
+    lines = F.filter(F.array_distinct(F.transform(F.split("text", "\n"), line_key)), lambda x: x.isNotNull())
+    sizes, seen = rows.select("source", "_hash"), rows.select("source", "_hash", F.explode(lines).alias("line"))
+    if once_per_text:
+        sizes, seen = sizes.distinct(), seen.distinct()
+    size = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     seen = seen.groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
     return seen.join(size, "source").where(F.col("docs") > share * F.col("n")).select("source", "line")
 
 
 def line_hits(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, removed array<int>, lost_words): positions of the lines to remove."""
+    """(key of the row, removed array<int>, lost_words): positions of the lines to remove."""
     words = lambda x: F.size(F.filter(F.split(x, "[ \\t\\x0B\\f\\r]+"), lambda w: w != ""))
     each = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), line_key(x).alias("line"), words(x).alias("words")))
     each = F.filter(each, lambda x: x["line"].isNotNull())
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    rows = docs.where("text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), salt.alias("salt"), F.explode(each).alias("e"))
-    rows = rows.select("doc_id", "source", "salt", "e.*")
-    # A line of a large host may be in a third of all documents: its rows are dealt over the salts.
-    spread = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = rows.join(spread, ["source", "line", "salt"])
-    return hit.groupBy("doc_id").agg(F.collect_set("pos").alias("removed"), F.sum("words").cast("long").alias("lost_words"))
-
-
-def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_loss: float = MAX_LOSS) -> DataFrame:
+    # A line of a large host may be in a third of all documents: its rows are dealt over salts, more of them on a larger cluster.
+    salts = max(32, partitions(docs.sparkSession) // 8)
+    salt = F.pmod(F.xxhash64("_id", "_hash"), F.lit(salts)).cast("int")
+    rows = keyed(docs).where("text is not null").select(*KEY, "source", salt.alias("salt"), F.explode(each).alias("e"))
+    rows = rows.select(*KEY, "source", "salt", "e.*")
+    spread = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hit = rows.join(spread, ["source", "line", "salt"]).groupBy(*KEY).agg(F.collect_set(F.struct("pos", "words")).alias("hits"))  # repeated rows hit alike
+    lost = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return hit.select(*KEY, F.col("hits.pos").alias("removed"), lost.alias("lost_words"))
+
+
+def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_loss: float = MAX_LOSS, once_per_text: bool = False) -> DataFrame:
     """Verdict per document: base counts, removed line positions, lost words, kept."""
-    hits = line_hits(docs, frequent_lines(docs, min_docs, share))
-    out = base_rules(docs).join(hits, "doc_id", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0).cast("long")))
+    hits = line_hits(docs, frequent_lines(docs, min_docs, share, once_per_text))
+    out = base_rules(docs).join(hits, KEY, "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0).cast("long")))
     kept = ~F.col("base_failed") & (F.col("lost_words") <= max_loss * F.col("n_words"))
-    return out.withColumn("kept", kept)
+    return out.withColumn("kept", kept).drop(*KEY)
 
 
 def clean(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Kept documents, their frequent lines taken out; the columns of docs.
-
-    Documents with a null doc_id cannot be matched to a verdict and go.
-    """
-    kept = verdicts.where("kept").select("doc_id", F.col("removed").alias("_lines")).dropDuplicates(["doc_id"])
+    """Kept documents, their frequent lines taken out; the columns of docs. doc_id must tell rows apart."""
+    kept = verdicts.where("kept").select("doc_id", F.col("removed").alias("_lines"))
     joined = shielded(docs).join(kept, "doc_id")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", i))
     text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = restored(joined.withColumn("text", text), docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+    return restored(joined.withColumn("text", text), docs)
 
 
 def clean_rows(docs: DataFrame) -> DataFrame:
