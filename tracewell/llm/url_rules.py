@@ -1,21 +1,28 @@
 """Operator 7: URL filters by a sort-merge range join. DataFrame functions only.
 
-The labels of a host, reversed and each ended by a separator, make a key in
-which a rule's host and all its subdomains are one interval; intervals nest or
-are apart. Rule keys and URL keys are sorted together and swept: the last rule
-key before a URL, with the rules it is nested in, is the stack; rules whose
-interval has ended drop out, and of those whose path fits the longest rule wins.
+A rule (host, path) becomes one interval of canonical keys: the labels of the
+host, reversed, then its path; the interval holds every key that goes on from
+there. A URL has one key for its host and one for each domain the host lies in,
+each with the URL's path: it fits a rule if one of its keys lies in the rule's
+interval. Intervals of prefixes nest or are apart.
+
+Interval starts, ends and URL keys are sorted together and swept. The running
+number of open intervals is the depth of the stack; the interval on top of it at
+a URL key is the last start that opened at that depth. So the stack is kept by
+two windows, a row a rule, and no row carries a list of rules. The longest of the
+tops of a URL's keys wins.
 
 The sweep runs in ranges of the sorted keys. A key that many URLs share is split
-by a hash of the row, and the stack that is open at the start of a range comes
-from the ranges before it (one row per range).
-
-A stack holds the rules of one host and its parent domains, so its size is that
-of the rule list's widest chain, not of the URLs.
+by row, and the depth and the open starts at the beginning of a range come from
+the ranges before it: one row a range, and one per range and depth.
 
 Defined cases: a null url or one without :// has an empty host and path; no
 fitting rule gives a null rule and the default verdict; of equally long rules
-the one with the longer host wins; repeated rows get equal rows.
+the one with the longer host wins, of rules with equal host and path the one
+whose verdict comes last by name (block over allow); rules with a null host or
+path fit nothing; repeated rows and rows that share a page_id are rows each, a
+null page_id stays null; very long urls are keys whole; an empty table gives an
+empty result; other columns of pages are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,12 +41,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-END = "\x01"
-
-
-def host_key(host: Column) -> Column:
-    """www.example.org -> org, example, www, each with the separator behind it."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), END), F.lit(END))
+#: Neither ? nor # is in a host or path: one ends the labels of a key, the other its host.
+LABEL, HOST = "?", "#"
 
 
 def split_url(pages: DataFrame) -> DataFrame:
@@ -48,41 +51,66 @@ def split_url(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.translate(part(1), UPPER, LOWER)).withColumn("path", part(2))
 
 
-def stacks(rules: DataFrame) -> DataFrame:
-    """One row per rule host: its key and the rules of it and of the domains it lies in."""
-    rules = rules.where("host is not null and path is not null").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").distinct()
-    keyed = rules.withColumn("key", host_key(F.col("host")))
-    own = keyed.select(F.col("key").alias("at"), F.struct("host", "path", "verdict").alias("rule"))
-    labels = F.split(F.expr(f"substring(key, 1, length(key) - {len(END)})"), END)
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.array_join(F.slice(labels, 1, k), END), F.lit(END)))
-    chain = keyed.select("key").distinct().select("key", F.explode(ends).alias("at"))
-    return chain.join(own, "at").groupBy("key").agg(F.collect_set("rule").alias("stack"))
+def reversed_labels(host: Column) -> Column:
+    return F.reverse(F.split(host, r"\.", -1))
 
 
-def apply_rules(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of pages (page_id, url)."""
-    spark = pages.sparkSession
-    urls = split_url(pages.select("page_id", "url"))
-    opened = stacks(rules)
-    kind = opened.schema["stack"].dataType
-    tie = F.xxhash64("page_id", "url")
-    events = urls.select(host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), tie.alias("tie"), "page_id", "host", "path", F.lit(None).cast(kind).alias("stack"))
-    starts = opened.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("long").alias("page_id"), F.lit("").alias("host"), F.lit("").alias("path"), "stack")
-    dealt = events.unionByName(starts).repartitionByRange(partitions(spark), "key", "kind", "tie").withColumn("range", F.spark_partition_id())
+def key(labels: Column, path: Column) -> Column:
+    """www.example.org, /a -> org?example?www#/a, as bytes."""
+    return F.concat(F.array_join(labels, LABEL), F.lit(HOST), path).cast("binary")
+
+
+def intervals(rules: DataFrame) -> DataFrame:
+    """A start (step 1) and an end (step -1) of every rule."""
+    given = rules.where("host is not null and path is not null").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict")
+    given = given.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    at = key(reversed_labels(F.col("host")), F.col("path"))
+    length = F.length("host") + F.length("path")
+    rule = F.struct(length.alias("length"), F.length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "verdict")
+    starts = given.select(at.alias("key"), F.lit(0).alias("kind"), F.lit(1).alias("step"), rule.alias("rule"))
+    # no text goes on with byte 255, so an end comes behind all that its interval holds
+    ends = given.select(F.concat(at, F.lit(b"\xff")).alias("key"), F.lit(2).alias("kind"), F.lit(-1).alias("step"), F.lit(None).cast(starts.schema["rule"].dataType).alias("rule"))
+    return starts.unionByName(ends)
+
+
+def url_keys(urls: DataFrame) -> DataFrame:
+    """One row for the host of a URL and for each domain it lies in."""
+    labels = urls.select("row", "path", reversed_labels(F.col("host")).alias("labels"))
+    each = labels.select("row", "path", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("n"))
+    return each.select(key(F.slice("labels", F.lit(1), F.col("n")), F.col("path")).alias("key"), F.lit(1).alias("kind"), F.lit(0).alias("step"), "row")
+
+
+def sweep(events: DataFrame) -> DataFrame:
+    """(row, rule): for every URL key the innermost rule that is open there."""
+    spark = events.sparkSession
+    dealt = events.repartitionByRange(partitions(spark), "key", "kind", F.xxhash64("row")).withColumn("range", F.spark_partition_id())
     dealt = materialize(dealt, "url-ranges")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    moves = dealt.groupBy("range").agg(F.sum("step").alias("step"))  # one row a range
+    entry = moves.select("range", F.coalesce(F.sum("step").over(earlier), F.lit(0)).alias("entry"))
+    inside = Window.partitionBy("range").orderBy("key", "kind", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = dealt.withColumn("depth", F.sum("step").over(inside)).join(F.broadcast(entry), "range")
+    steps = steps.withColumn("depth", F.col("depth") + F.col("entry"))
+    steps = materialize(steps.where("kind < 2").select("range", "depth", "key", "kind", "row", "rule"), "url-depths")
+
+    # the last start of each depth in each range, carried to the ranges behind it
+    last = steps.where("kind = 0").groupBy("depth", "range").agg(F.max_by("rule", "key").alias("rule"))
+    asked = steps.where("kind = 1 and depth > 0").select("depth", "range").distinct()
+    upto = Window.partitionBy("depth").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = asked.join(last, ["depth", "range"], "full_outer").withColumn("carried", F.last("rule", ignorenulls=True).over(upto)).drop("rule")
 
-    last = dealt.where("kind = 0").groupBy("range").agg(F.max_by("stack", "key").alias("stack"))
-    ranges = dealt.select("range").distinct().join(last, "range", "left")  # one row per range
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ranges.select("range", F.last("stack", ignorenulls=True).over(before).alias("carried"))
-
-    sweep = Window.partitionBy("range").orderBy("key", "kind", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = dealt.withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
-    swept = swept.join(F.broadcast(carried), "range").withColumn("stack", F.coalesce("stack", "carried"))
-    fits = F.filter("stack", lambda r: ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))) & F.startswith(F.col("path"), r["path"]))
-    size = lambda r: F.struct(F.length(r["host"]) + F.length(r["path"]), F.length(r["host"]), r["verdict"], F.concat(r["host"], r["path"]).alias("rule"))
-    best = F.array_max(F.transform(fits, size))
-    out = swept.withColumn("best", best)
+    at_depth = Window.partitionBy("range", "depth").orderBy("key", "kind", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tops = steps.where("depth > 0").withColumn("top", F.last("rule", ignorenulls=True).over(at_depth)).where("kind = 1")
+    return tops.join(carried, ["depth", "range"], "left").select("row", F.coalesce("top", "carried").alias("rule"))
+
+
+def apply_rules(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+    """page_id, host, path, rule, verdict for every row of pages (page_id, url)."""
+    urls = split_url(pages.select("page_id", "url")).select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path")
+    urls = materialize(urls, "urls")
+    events = url_keys(urls).unionByName(intervals(rules), allowMissingColumns=True)
+    best = sweep(events).groupBy("row").agg(F.max("rule").alias("best"))
+    out = urls.join(best, "row", "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
