@@ -1,41 +1,49 @@
 """Operator 9: SimHash near-duplicates with a Gray-order hierarchical index.
 
 A fingerprint takes one vote per 3-word shingle and bit. Fingerprints within 2
-bits link. Distinct fingerprints are dealt by 3 segments of their bits: two that
-differ in at most 2 bits agree on one segment, so every link shows up under it.
-Inside such a bucket the fingerprints are sorted by Gray rank and a hierarchy is
-built over that order: a node keeps the bits all its fingerprints share (mask
-and pattern). A search descends from the root and drops a whole node as soon as
-the differences accumulated on its shared bits exceed 2. A bucket hands on one
-link per fingerprint to the least one it reaches there (a spanning star), not
-its pairs. A bucket of over SPLIT fingerprints is dealt again by 3 segments of
-the bits outside its own, exactly as above, before it meets in one task.
+bits link. The index is one hierarchy over all distinct fingerprints, sorted by
+Gray rank: a node keeps the bits all its fingerprints share (mask and pattern),
+and a search drops a whole node as soon as the differences accumulated on its
+shared bits exceed 2.
+
+1. Distinct fingerprints are dealt into ranges of Gray rank, of about RANGE each.
+   A range's own mask and pattern are an upper node: one row a range.
+2. The upper nodes, with the hierarchy over them, go to every task; each
+   fingerprint descends it and is sent to the ranges that may hold a neighbour
+   (its own and later ones: a link is found from its earlier end).
+3. A task builds the lower hierarchy of its range and searches it with all that
+   came. It hands on one link per fingerprint to the least one it reaches there
+   (a spanning star), not its pairs; a fingerprint has at most 2080 neighbours.
 
 Components of the distinct fingerprints give the least doc_id reachable.
 
 Defined cases: null text, empty text and text without a word have fingerprint 0
-and link like any other; texts of 1 or 2 words have one shingle; repeated rows
-share a component; documents with a null doc_id get the component of their
-fingerprint; an empty table gives an empty result.
+and link like any other; texts of 1 or 2 words have one shingle; very long texts
+vote in parts, whole; a bit with exactly half the votes is 0; repeated rows, and
+rows that share a doc_id, are fingerprinted each and share a component if their
+texts do; documents with a null doc_id get the component of their fingerprint,
+null if it holds no other; an empty table gives an empty result; other columns of docs are
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialize, partitions, table
+from tracewell.llm.common import map_texts, materialize, partitions, table
 from tracewell.llm.components import components
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
-SPLIT = 4096
-LEAF = 8
+#: Fingerprints of a range of the index, about, and of a small index.
+RANGE = 50_000
+LEAST = 1000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words hashed at once.
 WORDS = 1 << 16
@@ -59,12 +67,10 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(x if isinstance(x, str) else None) for x in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+    def prepare() -> Callable:
+        return lambda texts: (None, [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return map_texts(docs, ["doc_id"], prepare, "fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -76,26 +82,24 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchy over fingerprints sorted by Gray rank; FAN children a node."""
+    """Hierarchy over nodes (pattern and mask of shared bits) in Gray order; FAN children a node."""
 
     FAN = 4
 
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-        full = np.full(len(fps), ~np.uint64(0))
-        self.levels = [(self.fps, full)]
+    def __init__(self, bits: np.ndarray, mask: np.ndarray | None = None):
+        self.levels = [(bits, np.full(len(bits), ~np.uint64(0)) if mask is None else mask)]
         while len(self.levels[-1][0]) > 1:
             bits, mask = self.levels[-1]
             at = np.arange(0, len(bits), self.FAN)
-            ones = np.bitwise_and.reduceat(bits, at)
-            zeros = np.bitwise_and.reduceat(~bits & mask, at)
+            ones = np.bitwise_and.reduceat(bits | ~mask, at)
+            zeros = np.bitwise_and.reduceat(~bits | ~mask, at)
             shared = np.bitwise_and.reduceat(mask, at) & (ones | zeros)
             self.levels.append((ones & shared, shared))
 
     def near(self, query: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query position, fingerprint position) of all within the distance, in blocks of queries."""
-        for start in range(0, len(query), 1024):
-            q = np.arange(start, min(start + 1024, len(query)))
+        """(query position, node position) of all bottom nodes within the distance, in blocks of queries."""
+        for start in range(0, len(query) if len(self.levels[0][0]) else 0, 512):
+            q = np.arange(start, min(start + 512, len(query)))
             node = np.zeros(len(q), np.int64)
             for depth in range(len(self.levels) - 1, -1, -1):
                 bits, mask = self.levels[depth]
@@ -115,94 +119,82 @@ def find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x
 
 
-def bucket_stars(fps: np.ndarray) -> np.ndarray:
-    """Rows (fingerprint, least fingerprint reached), for those that are not their own."""
-    index = GrayIndex(fps)
-    parent = np.arange(len(fps))
-    for q, node in index.near(index.fps):
-        a, b = q[q != node], node[q != node]
+def stars(own: np.ndarray, come: np.ndarray) -> np.ndarray:
+    """Rows (fingerprint, least fingerprint reached) of those that came or are a range's own, but for their own least."""
+    index = GrayIndex(own[np.argsort(gray_rank(own), kind="stable")])
+    every, at = np.unique(np.concatenate([own, come]), return_inverse=True)
+    node_at, come_at = np.searchsorted(every, index.levels[0][0]), at[len(own) :]
+    parent = np.arange(len(every))
+    for q, node in index.near(come):
+        a, b = come_at[q], node_at[node]
         while len(a):
             a, b = find(parent, a), find(parent, b)
             low, high = np.minimum(a, b), np.maximum(a, b)
             open_ = low != high
             a, b = low[open_], high[open_]
             np.minimum.at(parent, b, a)
-    root = find(parent, np.arange(len(fps)))
-    signed = index.fps.view(np.int64)
+    root = find(parent, np.arange(len(every)))
+    signed = every.view(np.int64)
     least = signed.copy()
     np.minimum.at(least, root, signed)
     out = np.stack([signed, least[root]], axis=1)
     return out[out[:, 0] != out[:, 1]]
 
 
-def segments(count: int, free: list[int]) -> list[int]:
-    """Masks of count groups of about equally many of the free bits."""
-    return [sum(1 << b for b in free[len(free) * k // count : len(free) * (k + 1) // count]) for k in range(count)]
-
-
-def signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def dealt(fps: DataFrame) -> DataFrame:
-    """(bucket, fp): under each segment's value; large buckets are dealt again."""
-    every = segments(DISTANCE + 1, list(range(64)))
-    rows = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("s"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for k, m in enumerate(every)])).alias("e"))
-    rows = rows.select("fp", "e.s", "e.v")
-    size = rows.groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    salt = F.pmod(F.xxhash64("fp"), F.lit(16))
-    # a hot segment value is in this join once per salt, not gathered
-    spread = size.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    rows = rows.withColumn("salt", salt).join(spread, ["s", "v", "salt"]).drop("salt")
-    small = rows.where(F.col("n") <= SPLIT).select(F.xxhash64("s", "v").alias("bucket"), "s", "v", F.lit(-1).alias("s2"), F.lit(0).cast("long").alias("v2"), "fp")
-    again = None
-    for k, m in enumerate(every):
-        free = [b for b in range(64) if not m >> b & 1]
-        parts = [F.struct(F.lit(j).alias("s2"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("v2")) for j, x in enumerate(segments(DISTANCE + 1, free))]
-        part = rows.where((F.col("n") > SPLIT) & (F.col("s") == k)).select("fp", "s", "v", F.explode(F.array(*parts)).alias("e")).select("fp", "s", "v", "e.*")
-        again = part if again is None else again.unionByName(part)
-    large = again.select(F.xxhash64("s", "v", "s2", "v2").alias("bucket"), "s", "v", "s2", "v2", "fp")
-    return small.unionByName(large).select("bucket", "fp")
-
-
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by bucket; a bucket may run over several batches."""
-    rest_b, rest_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def work(bucket: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-        cut = np.flatnonzero(np.diff(bucket)) + 1
-        sizes = np.diff(np.concatenate([[0], cut, [len(bucket)]]))
-        starts = np.concatenate([[0], cut])
-        found = []
-        for n in (2, 3, 4):  # tiny buckets: compared side by side
-            at = starts[sizes == n]
-            for i in range(n):
-                for j in range(i):
-                    a, b = fp[at + i], fp[at + j]
-                    near = np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE
-                    found.append(np.stack([np.maximum(a, b)[near], np.minimum(a, b)[near]], axis=1))
-        for s, n in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist(), strict=True):
-            found.append(bucket_stars(np.unique(fp[s : s + n].view(np.uint64))))
-        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        out = out[out[:, 0] != out[:, 1]]
-        return pd.DataFrame({"u": out[:, 0], "v": out[:, 1]})
-
-    for b in batches:
-        bucket, fp = np.concatenate([rest_b, b["bucket"].to_numpy()]), np.concatenate([rest_f, b["fp"].to_numpy()])
-        if not len(bucket):
-            continue
-        k = int(np.searchsorted(bucket, bucket[-1]))
-        rest_b, rest_f = bucket[k:], fp[k:]
-        if k:
-            yield work(bucket[:k], fp[:k])
-    if len(rest_b):
-        yield work(rest_b, rest_f)
+def ranges(fps: DataFrame) -> DataFrame:
+    """(part, fp): distinct fingerprints dealt into ranges of Gray rank."""
+    n = fps.count()
+    count = max(n // RANGE, min(partitions(fps.sparkSession), n // LEAST), 1)
+    rank = F.col("fp")
+    for k in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
+    dealt = fps.repartitionByRange(count, rank.bitwiseXOR(F.lit(-(1 << 63))))  # unsigned order
+    return materialize(dealt.select(F.spark_partition_id().alias("part"), "fp"), "gray-ranges")
+
+
+def upper_nodes(dealt: DataFrame) -> pd.DataFrame:
+    """part, bits, mask of every range: one row for about RANGE fingerprints."""
+    shared = dealt.groupBy("part").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros"))
+    found = sorted(shared.collect())
+    ones, zeros = (np.array([r[k] for r in found], np.int64).view(np.uint64) for k in (1, 2))
+    return pd.DataFrame({"part": np.array([r.part for r in found], np.int64), "bits": ones, "mask": ones | zeros})
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(u, v): links that connect all distinct fingerprints within DISTANCE bits."""
-    n = partitions(fps.sparkSession)
-    return dealt(fps).repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_stars, "u long, v long")
+    dealt = ranges(fps)
+    upper = upper_nodes(dealt)
+    shared = dealt.sparkSession.sparkContext.broadcast(tuple(upper[c].to_numpy() for c in upper.columns))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, bits, mask = shared.value
+        top = GrayIndex(bits, mask)
+        for b in batches:
+            fp, home = b["fp"].to_numpy(np.int64), b["part"].to_numpy(np.int64)
+            for q, node in top.near(fp.view(np.uint64)):
+                ahead = part[node] >= home[q]
+                q, to = q[ahead], part[node[ahead]]
+                yield pd.DataFrame({"part": to, "came": (to != home[q]).astype(np.int32), "fp": fp[q]})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by range, its own fingerprints first."""
+        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+
+        def work(came: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+            own = np.unique(fp[came == 0].view(np.uint64))
+            return pd.DataFrame(stars(own, np.unique(fp.view(np.uint64))), columns=["u", "v"])
+
+        for b in batches:
+            rest = [np.concatenate([x, b[c].to_numpy(np.int64)]) for x, c in zip(rest, ("part", "came", "fp"), strict=True)]
+            cut = [0, *(np.flatnonzero(np.diff(rest[0])) + 1).tolist()]
+            for x, y in zip(cut, cut[1:], strict=False):
+                yield work(rest[1][x:y], rest[2][x:y])
+            rest = [x[cut[-1] :] for x in rest]
+        if len(rest[0]):
+            yield work(*rest[1:])
+
+    sent = dealt.select("part", "fp").mapInPandas(route, "part long, came int, fp long")
+    return sent.repartition(max(len(upper), 1), "part").sortWithinPartitions("part", "came").mapInPandas(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
