@@ -59,7 +59,10 @@ def test_line_quality(spark, odd):
     verdicts = line_quality.line_quality(many)
     seen = by_id(verdicts)
     assert all(list(seen[k].removed) == [0] and seen[k].kept for k in range(40))
-    assert all(seen[100 + k].removed is None and seen[100 + k].kept for k in range(30))  # copies count once
+    assert all(len(seen[100 + k].removed) == 6 and not seen[100 + k].kept for k in range(30))  # every copy is a document
+    verdicts = line_quality.line_quality(many, once_per_text=True)
+    seen = by_id(verdicts)
+    assert all(seen[100 + k].removed is None and seen[100 + k].kept for k in range(30))
     left = by_id(line_quality.clean(many, verdicts))
     assert left[3].text == rows[3][1].split("\n", 1)[1] and len(left) == 70
 
@@ -119,8 +122,9 @@ def test_toxicity(spark, odd, docs):
     chain = toxicity.learn(many, labels)
     found = by_id(toxicity.score(many, chain))
     truth = dict(labels.select("doc_id", "toxic").collect())
-    held = [r for r in found.values() if r.held_out and r.doc_id in truth]
-    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.93 * len(held)
+    held = [r for r in found.values() if r.held_out and truth.get(r.doc_id) is not None]
+    hits = sum(r.predicted * truth[r.doc_id] for r in held)
+    assert hits >= 0.7 * sum(truth[r.doc_id] for r in held) and hits >= 0.9 * sum(r.predicted for r in held)
     few = by_id(toxicity.score(odd, chain))
     assert few[3].score == few[4].score and few[3].predicted == 0
     assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
@@ -179,6 +183,24 @@ def test_urls(spark):
     assert {r.rule for r in url_rules.apply_rules(rows, rules.where("false")).collect()} == {None}
 
 
+def test_nested_and_many_rules(spark, monkeypatch):
+    """Ten thousand path rules of one host, nested ones, and ranges that begin inside intervals."""
+    many = [("big.example", f"/{k}/", "block") for k in range(10_000)]
+    deep = [("d.net", "/" + "a" * k, "allow" if k % 2 else "block") for k in range(40)] + [("net", "/aaa", "block"), ("net", "", "block"), ("", "/x", "block")]
+    rules = spark.createDataFrame(many + deep + [("net", "", "allow"), (None, "/", "block")], "host string, path string, verdict string")
+    urls = [f"s://w{k}.big.example/{k}/x" for k in range(0, 12_000, 40)] + ["s://d.net/" + "a" * k + "b" for k in range(50)] + ["s://e.d.net/aaaa"] * 300 + ["s:///xy", "s://net", "s://q.net", "s://q./x", None]
+    rows = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").repartition(5)
+    given = {(h, p): v for h, p, v in many + deep}
+    seen = {r.page_id: r for r in url_rules.apply_rules(rows, rules, "none").collect()}
+    assert len(seen) == len(urls)
+    for k, u in enumerate(urls):
+        host, _, rest = (u or "").partition("://")[2].partition("/")
+        path = "/" + rest if "/" in (u or "").partition("://")[2] else ""
+        labels = host.split(".")
+        fits = [(len(h) + len(p), len(h), h + p, given[h, p]) for h in (".".join(labels[j:]) for j in range(len(labels))) for n in range(len(path) + 1) if (p := path[:n], (h, p) in given)[1]]
+        assert (seen[k].host, seen[k].path, seen[k].rule, seen[k].verdict) == (host, path, *max(fits, default=(0, 0, None, "none"))[2:])
+
+
 def test_shards(odd, docs):
     found = kd_shards.kd_shards(docs).collect()
     total, size = sum(r["size"] for r in found), Counter()
@@ -223,15 +245,20 @@ def test_simhash(odd, docs):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
-def test_large_bucket_is_dealt_again(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SPLIT", 20)
+@pytest.mark.parametrize("size", [7, 50, 100_000])
+def test_gray_ranges_find_all_links(spark, monkeypatch, size):
+    monkeypatch.setattr(simhash, "RANGE", size)
+    monkeypatch.setattr(simhash, "LEAST", size)
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 62, 20, dtype=np.int64) << 20
-    fps = np.unique(np.concatenate([base ^ (1 << int(k)) for k in rng.integers(20, 60, 6)] + [base]) & ~np.int64((1 << 20) - 1))
-    near = [(int(a), int(b)) for k, a in enumerate(fps) for b in fps[:k] if bin(int(a ^ b) & (1 << 64) - 1).count("1") <= 2]
-    rows = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) << np.uint64(1)
+    far = [base ^ np.uint64((1 << int(a)) | (1 << int(b))) for a, b in rng.integers(0, 64, (6, 2))]
+    dense = base[0] ^ rng.integers(0, 64, 40, dtype=np.uint64)  # one crowded node
+    fps = np.unique(np.concatenate([base, dense, np.array([0, ~np.uint64(0)], np.uint64), *far]))
+    pairs = [(k, j) for k in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[k] ^ fps[:k]) <= 2).tolist()]
+    signed = [int(x) for x in fps.view(np.int64)]
+    rows = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3)
     got = components.components(simhash.links(rows)).collect()
-    want = components.components(spark.createDataFrame(near, "u long, v long")).collect()
+    want = components.components(spark.createDataFrame([(signed[a], signed[b]) for a, b in pairs], "u long, v long")).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
 
 
@@ -239,8 +266,9 @@ def test_gray_index_finds_all():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(1 << 40)]))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
     index = simhash.GrayIndex(fps)
-    pairs = {(int(index.fps[q]), int(index.fps[n])) for qs, ns in index.near(index.fps) for q, n in zip(qs, ns, strict=True)}
+    pairs = {(int(fps[q]), int(fps[n])) for qs, ns in index.near(fps) for q, n in zip(qs, ns, strict=True)}
     assert pairs == {(int(a), int(b)) for a in fps for b in fps if bin(int(a ^ b)).count("1") <= 2}
 
 
@@ -264,9 +292,14 @@ def test_repeats(spark, odd, docs, monkeypatch, hot):
     rows = docs.select("doc_id", "text").where("doc_id < 120").union(odd.select(F.col("doc_id") + 1000, "text"))
     text = dict(rows.collect())
     if hot == 1:
-        monkeypatch.setattr(repeats, "HOT", 1)
+        monkeypatch.setattr(repeats, "MANY", 1)
+        monkeypatch.setattr(repeats, "SAMPLE", 4)
+        monkeypatch.setattr(repeats, "OFTEN", 3)
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(rows).collect()}
     assert found == slow_repeats(text)
+    other = PASSAGE[::-1] * 2
+    shared = spark.createDataFrame([(1, PASSAGE * 2), (1, other), (0, PASSAGE)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_bytes - r.n_removed) for r in repeats.remove_repeats(shared).collect()) == [(0, len(PASSAGE)), (1, 0), (1, len(PASSAGE))]
     twice = spark.createDataFrame([(1, PASSAGE * 3), (1, PASSAGE * 3), (None, PASSAGE)], "doc_id long, text string")
     assert {(r.doc_id, r.n_removed) for r in repeats.remove_repeats(twice).collect()} == {(None, 0), (1, len(PASSAGE) * 3)}
     assert repeats.remove_repeats(rows.where("false")).count() == 0
@@ -277,9 +310,9 @@ def test_hot_group_keeps_first_runs(monkeypatch):
 
     monkeypatch.setattr(repeats, "CHUNK", 2000)
     raw = (PASSAGE + PASSAGE)[:140].encode()
-    rows = pd.DataFrame([(7, d, 40, 40, 0, raw) for d in range(50)], columns=["gram", "doc_id", "place", "lead", "tail", "raw"])
+    rows = pd.DataFrame([(7, d, 40, 40, 0, raw) for d in range(50)], columns=["gram", "d", "place", "lead", "tail", "raw"]).assign(t=0)
     out = pd.concat(repeats._by_gram(iter([rows.iloc[:20], rows.iloc[20:]])))
-    assert set(out.doc_id) == set(range(1, 50)) and set(zip(out.a, out.z, strict=True)) == {(0, 140)}
+    assert set(out.d) == set(range(1, 50)) and set(zip(out.a, out.z, strict=True)) == {(0, 140)}
 
 
 def test_components_of_a_chain(spark):

@@ -7,34 +7,44 @@ window, the GRAM-byte string with the least hash (leftmost of equals) and its
 place. Equal windows have equal digits, and neighbouring windows share one.
 
 1. Digit one, in the map: a row per run of windows with the same digit, carrying
-   the gram's hash, a hash of the run's whole content and its place. Equal runs
-   within a batch but the first are repeats at once (a map-side combine, which
-   is what takes the weight off passages that many documents share).
-2. Digit two, in the shuffle by gram: equal runs but the first are repeats. A gram
-   whose runs are all equal is finished; one with unequal runs goes on.
-3. Those runs fetch their bytes and meet by gram; for each place of the gram the
+   the gram's hash and the run's place. Runs of a batch that equal an earlier one
+   byte for byte are repeats at once (a map-side combine, which takes the weight
+   off passages that many documents share).
+2. In the shuffle by gram, runs whose gram stands nowhere else are dropped.
+3. The others fetch their bytes and meet by gram; for each place of the gram the
    windows are radix sorted, 8 bytes a pass, singles dropped after each pass.
    Windows left at LENGTH bytes are equal; all but the first are repeats.
 
+A hash only brings windows together; bytes alone decide. Grams that one document
+in SAMPLE shows OFTEN times (the HOTTEST of them) are hot: the map deals their
+runs by whole windows at once, which equal windows alone share, so no task meets
+all the runs of a hot gram. A gram with over MANY runs is dealt by a shorter
+digit of its own when the bytes are fetched. Both choose the way, not the result.
+
 The union of repeated windows is cut out of each document.
 
-Defined cases: null text counts as empty; texts under LENGTH bytes lose nothing;
-rows that share a doc_id are one document and get equal results; a null doc_id
-comes before all others; long texts are hashed block by block.
+Defined cases: null text counts as empty (and stays null in the pipeline); texts
+under LENGTH bytes lose nothing; repeated rows (equal doc_id and text) are one
+document and get equal results; rows that share a doc_id but not a text are
+documents each, in the order of a hash of the text; a null doc_id comes before
+all others and stays null; of equal windows the earliest stays, ties by the
+order named; very long texts are hashed block by block, whole; an empty table
+gives an empty result; columns of docs may have any names in the pipeline, and
+are not read in the query.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tracewell.llm.common import materialize, partitions, table
+from tracewell.llm.common import map_texts, materialize, partitions, table
 
 LENGTH = 100
 GRAM = 32
@@ -44,9 +54,13 @@ MIX = 0xD6E8FEB86659FD93
 BLOCK = 1 << 16
 #: Bytes of run content sorted at once.
 CHUNK = 16 << 20
-#: A gram with more runs is hot: its runs are cut into pieces of so many window starts.
-HOT = 1000
+#: A gram with more runs is cut into pieces of so many window starts.
+MANY = 1000
 PIECE = 8
+#: Hot grams: found OFTEN times in one of SAMPLE documents; the HOTTEST at most are sent to the tasks.
+SAMPLE = 64
+OFTEN = 64
+HOTTEST = 100_000
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -90,43 +104,71 @@ def runs(raw: bytes) -> np.ndarray:
     return rows[np.argsort(rows[:, 1], kind="stable")]
 
 
-ROWS = "gram long, content long, doc_id long, place long, lead int, tail int"
-
-
-def _first_digit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def first_digit(texts: list[str | None], d: pa.Array, t: pa.Array, hot: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Text positions, grams and places (see packed) of the runs of a batch, and of the repeats found in it (see decided)."""
     import xxhash
 
-    for b in batches:
-        docs, found, content = [], [], []
-        for doc, text in zip(b["doc_id"].to_numpy(), b["text"], strict=True):
-            raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-            r = runs(raw)
-            if len(r):
-                docs.append(np.full(len(r), doc, np.int64))
-                found.append(r)
-                content += [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(r[:, 1].tolist(), (r[:, 2] + LENGTH).tolist(), strict=True)]
-        if not docs:
-            continue
-        docs, r, content = np.concatenate(docs), np.concatenate(found), np.array(content, np.uint64).view(np.int64)
-        order = np.lexsort((r[:, 3], docs, r[:, 1] - r[:, 3], content, r[:, 0]))
-        d, s, c = docs[order], r[order], content[order]
-        same = (s[1:, 0] == s[:-1, 0]) & (c[1:] == c[:-1]) & (s[1:, 1] - s[1:, 3] == s[:-1, 1] - s[:-1, 3])
-        first = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(s)), 0))
-        repeat = (d != d[first]) | (s[:, 3] != s[first, 3])
-        d1, s1 = d[~repeat], s[~repeat]
-        yield pd.DataFrame({"gram": pd.array(s1[:, 0], dtype="Int64"), "content": c[~repeat], "doc_id": d1, "place": s1[:, 3], "lead": s1[:, 3] - s1[:, 1], "tail": s1[:, 3] - s1[:, 2]})
-        yield _decided(d[repeat], s[repeat])
-
-
-def _decided(docs: np.ndarray, r: np.ndarray) -> pd.DataFrame:
-    """Repeats found in the map, touching ones joined; no gram, place is the start and content the end."""
-    order = np.lexsort((r[:, 1], docs))
-    d, a, z = docs[order], r[order, 1], r[order, 2] + LENGTH
-    if len(d):
-        start = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (a[1:] > z[:-1])))  # runs of a document are in order, so ends rise
-        last = np.append(start[1:] - 1, len(d) - 1)
-        d, a, z = d[start], a[start], z[last]
-    return pd.DataFrame({"gram": pd.array([pd.NA] * len(d), dtype="Int64"), "content": z, "doc_id": d, "place": a, "lead": np.zeros(len(d), np.int32), "tail": np.zeros(len(d), np.int32)})
+    docs, found, content = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)], []
+    raws = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
+    for k, raw in enumerate(raws):
+        r = runs(raw)
+        if len(hot) and len(r):
+            split = np.isin(r[:, 0], hot)
+            if split.any():
+                n = r[split, 2] - r[split, 1] + 1
+                start = np.repeat(r[split, 1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                own = np.array([xxhash.xxh3_64_intdigest(raw[x : x + LENGTH], 1) for x in start.tolist()], np.uint64).view(np.int64)
+                r = np.concatenate([r[~split], np.stack([own, start, start, np.repeat(r[split, 3], n)], axis=1)])
+        docs.append(np.full(len(r), k, np.int64))
+        found.append(r)
+        content += [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(r[:, 1].tolist(), (r[:, 2] + LENGTH).tolist(), strict=True)]
+    docs, r, content = np.concatenate(docs), np.concatenate(found), np.array(content, np.uint64)
+    by_id = np.lexsort((t.to_numpy(), d.to_numpy()))
+    place = np.zeros(len(texts), np.int64)
+    place[by_id] = np.arange(len(texts))
+    order = np.lexsort((r[:, 3], place[docs], r[:, 1] - r[:, 3], content, r[:, 0]))
+    docs, r, content = docs[order], r[order], content[order]
+    same = np.append(False, (r[1:, 0] == r[:-1, 0]) & (content[1:] == content[:-1]) & (r[1:, 1] - r[1:, 3] == r[:-1, 1] - r[:-1, 3]))[: len(r)]
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(r))))
+    twin = np.zeros(len(r), bool)
+    for k in np.flatnonzero(same).tolist():  # equal hashes: the bytes decide
+        f = first[k]
+        twin[k] = raws[docs[k]][r[k, 1] : r[k, 2] + LENGTH] == raws[docs[f]][r[f, 1] : r[f, 2] + LENGTH]
+    d, t = d.to_numpy()[docs], t.to_numpy()[docs]
+    itself = (d == d[first]) & (t == t[first]) & (r[:, 3] == r[first, 3]) & (r[:, 1] == r[first, 1])  # a repeated row
+    gone, left = twin & ~itself, ~twin
+    spot = (r[left, 3] << 14) | (r[left, 3] - r[left, 1] << 7) | (r[left, 3] - r[left, 2])
+    at, a, z = touching(docs[gone], r[gone, 1], r[gone, 2] + LENGTH)
+    mark = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in np.stack([at, a], axis=1)], np.uint64).view(np.int64)  # deals them out
+    return np.concatenate([docs[left], at]), [np.concatenate([r[left, 0], mark]), np.concatenate([spot, ~(a << 32 | z - a)])]
+
+
+def touching(docs: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping or touching stretches of a document made one."""
+    order = np.lexsort((a, docs))
+    docs, a, z = docs[order], a[order], z[order]
+    if not len(docs):
+        return docs, a, z
+    start = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (a[1:] > z[:-1])))  # runs of a document are in order, so ends rise
+    return docs[start], a[start], z[np.append(start[1:] - 1, len(docs) - 1)]
+
+
+def digits(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """_d, _t, gram, at: at is place << 14 | lead << 7 | tail of a run, or ~(start << 32 | length) of a stretch of repeats."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def prepare() -> Callable:
+        known = shared.value
+        return lambda found, d, t: first_digit(found, d, t, known)
+
+    return map_texts(texts.where(F.octet_length("text") >= LENGTH), ["_d", "_t"], prepare, "gram long, at long", ("_d", "_t"))
+
+
+def hot_grams(texts: DataFrame) -> np.ndarray:
+    some = texts.where(F.pmod(F.xxhash64("_d", "_t"), F.lit(SAMPLE)) == 0)
+    seen = digits(some, np.zeros(0, np.int64)).where("at >= 0").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    found = seen.where(F.col("n") >= OFTEN).orderBy(F.desc("n")).limit(HOTTEST).collect()
+    return np.array(sorted(r.gram for r in found), np.int64)
 
 
 def same_windows(groups: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -154,7 +196,9 @@ def same_windows(groups: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 def _sort_group(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     """The stretch of each run that repeated windows cover; the runs with a window that repeats none."""
-    b = b.sort_values(["gram", "doc_id", "place"], kind="stable", ignore_index=True)
+    b = b.sort_values(["gram", "d", "t", "place", "lead"], kind="stable", ignore_index=True)
+    key = b[["gram", "d", "t", "place", "lead"]].to_numpy(np.int64)  # repeated rows brought their runs along
+    b = b[np.append(True, (key[1:] != key[:-1]).any(axis=1))[: len(b)]].reset_index(drop=True)
     lead, tail, gram = b["lead"].to_numpy(np.int64), b["tail"].to_numpy(np.int64), b["gram"].to_numpy()
     raw = b["raw"].tolist()
     buf = np.frombuffer(b"".join(raw) + bytes(LENGTH), np.uint8)
@@ -177,7 +221,7 @@ def _sort_group(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         repeated[again] += 1
     hit = most >= 0
     place = b["place"].to_numpy()[hit]
-    found = pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[hit], "a": place - most[hit], "z": place - least[hit] + LENGTH})
+    found = pd.DataFrame({"d": b["d"].to_numpy()[hit], "t": b["t"].to_numpy()[hit], "a": place - most[hit], "z": place - least[hit] + LENGTH})
     return found, b[repeated < lead - tail + 1]
 
 
@@ -211,29 +255,28 @@ def _by_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _sort_group(pd.concat(held, ignore_index=True))[0]
 
 
-def _with_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of each asked run; of a hot gram, cut into pieces of PIECE window starts.
+def _with_bytes(texts: list[str], found: pa.Array) -> tuple[list[int], list[list]]:
+    """The bytes of each asked run; of a gram with many runs, cut into pieces of PIECE window starts.
 
     All windows of a piece contain its core, so equal windows have equal cores:
-    the next digit, by which a hot gram falls apart before it meets in a task.
+    the next digit, by which such a gram falls apart before it meets in a task.
     """
     import xxhash
 
-    for b in batches:
-        out = []
-        for doc, text, found in zip(b["doc_id"], b["text"], b["found"], strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            for x in found:
-                gram, p, lead, tail = x["gram"], x["place"], x["lead"], x["tail"]
-                if x["n"] <= HOT:
-                    out.append((gram, doc, p, lead, tail, raw[p - lead : p - tail + LENGTH]))
-                    continue
-                for j in range(tail // PIECE, lead // PIECE + 1):
-                    far, near = min(lead, j * PIECE + PIECE - 1), max(tail, j * PIECE)
-                    core = raw[p - j * PIECE : p - j * PIECE - PIECE + 1 + LENGTH]
-                    key = xxhash.xxh3_64_intdigest(core, j) - (1 << 63)
-                    out.append((key, doc, p, far, near, raw[p - far : p - near + LENGTH]))
-        yield pd.DataFrame(out, columns=["gram", "doc_id", "place", "lead", "tail", "raw"])
+    out = []
+    for k, (text, asks) in enumerate(zip(texts, found.to_pylist(), strict=True)):
+        raw = text.encode("utf-8", "surrogatepass")
+        for x in asks:
+            gram, p, lead, tail = x["gram"], x["at"] >> 14, x["at"] >> 7 & 127, x["at"] & 127
+            if x["n"] <= MANY:
+                out.append((k, gram, p, lead, tail, raw[p - lead : p - tail + LENGTH]))
+                continue
+            for j in range(tail // PIECE, lead // PIECE + 1):
+                far, near = min(lead, j * PIECE + PIECE - 1), max(tail, j * PIECE)
+                core = raw[p - j * PIECE : p - j * PIECE - PIECE + 1 + LENGTH]
+                key = xxhash.xxh3_64_intdigest(core, j) - (1 << 63)
+                out.append((k, key, p, far, near, raw[p - far : p - near + LENGTH]))
+    return [r[0] for r in out], [[r[k] for r in out] for k in range(1, 6)]
 
 
 def joined(spans: np.ndarray) -> np.ndarray:
@@ -254,68 +297,60 @@ def cut_out(raw: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def repeated_spans(docs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): doc_id, text (and more columns) dealt by doc_id; doc_id, spans array<struct<a,z>> of repeats."""
-    n = partitions(docs.sparkSession)
-    lowest = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc_id")
-    texts = docs.select(lowest, F.coalesce("text", F.lit("")).alias("text"), *[c for c in keep or () if c not in ("doc_id", "text")])
-    rows = texts.where(F.octet_length("text") >= LENGTH).select("doc_id", "text").mapInPandas(_first_digit, ROWS)
-    # decided rows have no gram; a hash of their own deals them out
-    rows = rows.withColumn("done", F.col("gram").isNull()).withColumn("key", F.coalesce("gram", F.xxhash64("doc_id", "place")))
-    order = Window.partitionBy("key", "done").orderBy("content", "lead", "doc_id", "place")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    kind = F.struct("content", "lead")
-    rows = rows.select("*", F.lag(F.struct("content", "lead", "doc_id", "place")).over(order).alias("prior"), (F.first(kind).over(whole) != F.last(kind).over(whole)).alias("mixed"), F.count(F.lit(1)).over(whole).alias("n"))
-    equal = (F.col("prior.content") == F.col("content")) & (F.col("prior.lead") == F.col("lead"))
-    elsewhere = (F.col("prior.doc_id") != F.col("doc_id")) | (F.col("prior.place") != F.col("place"))
-    repeat = F.coalesce(equal & elsewhere, F.lit(False))
-    span = lambda a, z: F.struct(a.alias("a"), z.alias("z"))
-    decided = F.when(F.col("done"), span(F.col("place"), F.col("content"))).when(repeat, span(F.col("place") - F.col("lead"), F.col("place") - F.col("tail") + LENGTH))
-    asks = F.when(~F.col("done") & ~repeat & F.col("mixed"), F.struct("gram", "place", "lead", "tail", "n"))
-    told = rows.select("doc_id", decided.alias("decided"), asks.alias("asks")).where("decided is not null or asks is not null")
-    told = told.groupBy("doc_id").agg(F.collect_list("decided").alias("decided"), F.collect_set("asks").alias("found"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs, text never null, with _none (it was) and what orders and tells documents apart: _d, _t."""
+    d = F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long")
+    t = F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
+    return docs.withColumns({"_d": d, "_t": t, "_none": F.col("text").isNull(), "text": F.coalesce("text", F.lit(""))})
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """_d, _t, spans array<struct<a,z>> of the repeats in keyed texts dealt by _d and _t."""
+    n = partitions(texts.sparkSession)
+    slim = texts.select("_d", "_t", "text")
+    rows = digits(slim, hot_grams(slim))
+    count = F.count(F.when(F.col("at") >= 0, 1)).over(Window.partitionBy("gram"))
+    rows = rows.withColumn("n", count)
+    stretch = F.bitwise_not("at")
+    start = F.shiftright(stretch, 32)
+    decided = F.when(F.col("at") < 0, F.struct(start.alias("a"), (start + stretch.bitwiseAND(0xFFFFFFFF)).alias("z")))
+    asks = F.when((F.col("at") >= 0) & (F.col("n") > 1), F.struct("gram", "at", "n"))
+    told = rows.select("_d", "_t", decided.alias("decided"), asks.alias("asks")).where("decided is not null or asks is not null")
+    told = told.groupBy("_d", "_t").agg(F.collect_list("decided").alias("decided"), F.collect_set("asks").alias("found"))
     told = materialize(told, "repeats")
-    by_doc = texts.repartition(n, "doc_id")
-    asked = by_doc.join(told.where(F.size("found") > 0).select("doc_id", "found"), "doc_id").select("doc_id", "text", "found")
-    content = asked.mapInPandas(_with_bytes, "gram long, doc_id long, place long, lead int, tail int, raw binary")
-    late = content.repartition(n, "gram").sortWithinPartitions("gram", "doc_id", "place").mapInPandas(_by_gram, "doc_id long, a long, z long")
-    late = late.groupBy("doc_id").agg(F.collect_list(F.struct("a", "z")).alias("late"))
-    spans = told.select("doc_id", "decided").join(late, "doc_id", "full_outer")
+    asked = texts.select("_d", "_t", "text").join(told.where(F.size("found") > 0).select("_d", "_t", "found"), ["_d", "_t"])
+    content = map_texts(asked, ["_d", "_t"], lambda: _with_bytes, "gram long, place long, lead int, tail int, raw binary", ("found",))
+    content = content.withColumnsRenamed({"_d": "d", "_t": "t"})
+    late = content.repartition(n, "gram").sortWithinPartitions("gram", "d", "t", "place", "lead").mapInPandas(_by_gram, "d long, t long, a long, z long")
+    late = late.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("a", "z")).alias("late"))
+    spans = told.select("_d", "_t", "decided").join(late, ["_d", "_t"], "full_outer")
     empty = F.expr("cast(array() as array<struct<a:bigint,z:bigint>>)")
-    spans = spans.select("doc_id", F.concat(F.coalesce("decided", empty), F.coalesce("late", empty)).alias("spans"))
-    return by_doc, spans
+    return spans.select("_d", "_t", F.concat(F.coalesce("decided", empty), F.coalesce("late", empty)).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     With keep: those columns of docs, the text being what is kept (bytes of a
-    character that was cut in two are dropped), and the same counts.
+    character that was cut in two are dropped); none of them may begin with _d, _t.
     """
-    texts, spans = repeated_spans(docs, keep)
-    counts = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    if keep:
-        schema = T.StructType([texts.schema[c] for c in keep if c not in counts] + T._parse_datatype_string(schema).fields[1:])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out, rest = [], []
-            for text, found in zip(b["text"], b["spans"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                s = joined(np.array([(x["a"], x["z"]) for x in found], np.int64)) if found is not None and len(found) else np.zeros((0, 2), np.int64)
-                kept = cut_out(raw, s)
-                out.append((len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
-                if keep:
-                    rest.append(kept.decode("utf-8", "ignore"))
-            first = b[["doc_id"]].reset_index(drop=True)
-            if keep:
-                first = b[[c for c in keep if c not in counts]].reset_index(drop=True)
-                first["text"] = rest
-            yield pd.concat([first, pd.DataFrame(out, columns=counts)], axis=1)
-
-    out = texts.join(spans, "doc_id", "left").mapInPandas(run, schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    columns = list(dict.fromkeys(["doc_id", "text", *(keep or ())]))
+    texts = keyed(docs.select(*columns)).repartition(partitions(docs.sparkSession), "_d", "_t")
+    spans = repeated_spans(texts)
+    made = "kept string" if keep else "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+    def work(given: list[str], found: pa.Array, none: pa.Array) -> tuple[None, list]:
+        out = []
+        for text, f, nothing in zip(given, found.to_pylist(), none.to_pylist(), strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            s = joined(np.array([(x["a"], x["z"]) for x in f or ()], np.int64).reshape(-1, 2))
+            kept = cut_out(raw, s)
+            out.append((None if nothing else kept.decode("utf-8", "ignore"),) if keep else (len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
+        return None, [[r[k] for r in out] for k in range(1 if keep else 4)]
+
+    rest = [c for c in columns if c != "text"] if keep else ["doc_id"]
+    out = map_texts(texts.join(spans, ["_d", "_t"], "left"), rest, lambda: work, made, ("spans", "_none"))
+    return out.withColumnRenamed("kept", "text").select(*keep) if keep else out
 
 
 def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
