@@ -70,7 +70,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(docs: DataFrame, keep: list[str], prepare: Callable[[], Callable], made: str, look: tuple[str, ...] = ()) -> DataFrame:
+def map_texts(docs: DataFrame, keep: list[str], prepare: Callable[[], Callable], made: str, look: tuple[str, ...] = (), chars: int = CHARS) -> DataFrame:
     """The columns to keep, and columns made (a DDL list) from the texts of docs.
 
     prepare() is called once a task and returns work(texts), which returns
@@ -78,7 +78,7 @@ def map_texts(docs: DataFrame, keep: list[str], prepare: Callable[[], Callable],
     for one row a text, and a list of values for each column made. Kept columns
     stay Arrow data, so nulls and large integers come through as they are. Columns
     to look at go to work as Arrow arrays behind the texts. Texts are handed over
-    in parts of about CHARS characters.
+    in parts of about so many characters.
     """
     fields = T._parse_datatype_string(made).fields
     types = [to_arrow_type(f.dataType) for f in fields]
@@ -92,7 +92,7 @@ def map_texts(docs: DataFrame, keep: list[str], prepare: Callable[[], Callable],
             texts, start, size = b.column(n_keep).to_pylist(), 0, 0
             for end, t in enumerate(texts, 1):
                 size += len(t or "")
-                if size < CHARS and end < len(texts):
+                if size < chars and end < len(texts):
                     continue
                 positions, columns = work(texts[start:end], *(b.column(n_keep + 1 + i).slice(start, end - start) for i in range(len(look))))
                 kept = [b.column(i).slice(start, end - start) for i in range(n_keep)]

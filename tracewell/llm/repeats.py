@@ -59,8 +59,10 @@ MANY = 1000
 PIECE = 8
 #: Hot grams: found OFTEN times in one of SAMPLE documents; the HOTTEST at most are sent to the tasks.
 SAMPLE = 64
-OFTEN = 64
+OFTEN = 1024
 HOTTEST = 100_000
+#: Characters whose runs are compared in the map.
+CHARS = 16_000_000
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -161,7 +163,7 @@ def digits(texts: DataFrame, hot: np.ndarray) -> DataFrame:
         known = shared.value
         return lambda found, d, t: first_digit(found, d, t, known)
 
-    return map_texts(texts.where(F.octet_length("text") >= LENGTH), ["_d", "_t"], prepare, "gram long, at long", ("_d", "_t"))
+    return map_texts(texts.where(F.octet_length("text") >= LENGTH), ["_d", "_t"], prepare, "gram long, at long", ("_d", "_t"), CHARS)
 
 
 def hot_grams(texts: DataFrame) -> np.ndarray:
