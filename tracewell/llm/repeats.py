@@ -201,6 +201,9 @@ def _sort_group(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     b = b.sort_values(["gram", "d", "t", "place", "lead"], kind="stable", ignore_index=True)
     key = b[["gram", "d", "t", "place", "lead"]].to_numpy(np.int64)  # repeated rows brought their runs along
     b = b[np.append(True, (key[1:] != key[:-1]).any(axis=1))[: len(b)]].reset_index(drop=True)
+    twin = b.duplicated(["gram", "lead", "tail", "raw"]).to_numpy()  # equal runs, byte for byte: all their windows repeat
+    same, b = b[twin], b[~twin].reset_index(drop=True)
+    same = pd.DataFrame({"d": same["d"], "t": same["t"], "a": same["place"] - same["lead"], "z": same["place"] - same["tail"] + LENGTH})
     lead, tail, gram = b["lead"].to_numpy(np.int64), b["tail"].to_numpy(np.int64), b["gram"].to_numpy()
     raw = b["raw"].tolist()
     buf = np.frombuffer(b"".join(raw) + bytes(LENGTH), np.uint8)
@@ -224,7 +227,7 @@ def _sort_group(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     hit = most >= 0
     place = b["place"].to_numpy()[hit]
     found = pd.DataFrame({"d": b["d"].to_numpy()[hit], "t": b["t"].to_numpy()[hit], "a": place - most[hit], "z": place - least[hit] + LENGTH})
-    return found, b[repeated < lead - tail + 1]
+    return pd.concat([same, found]), b[repeated < lead - tail + 1]
 
 
 def _by_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,10 +309,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_d": d, "_t": t, "_none": F.col("text").isNull(), "text": F.coalesce("text", F.lit(""))})
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """_d, _t, spans array<struct<a,z>> of the repeats in keyed texts dealt by _d and _t."""
+def repeated_spans(given: DataFrame, texts: DataFrame) -> DataFrame:
+    """_d, _t, spans array<struct<a,z>> of the repeats in keyed rows; texts are the same, dealt by _d and _t."""
     n = partitions(texts.sparkSession)
-    slim = texts.select("_d", "_t", "text")
+    slim = given.select("_d", "_t", "text")
     rows = digits(slim, hot_grams(slim))
     count = F.count(F.when(F.col("at") >= 0, 1)).over(Window.partitionBy("gram"))
     rows = rows.withColumn("n", count)
@@ -320,7 +323,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     told = rows.select("_d", "_t", decided.alias("decided"), asks.alias("asks")).where("decided is not null or asks is not null")
     told = told.groupBy("_d", "_t").agg(F.collect_list("decided").alias("decided"), F.collect_set("asks").alias("found"))
     told = materialize(told, "repeats")
-    asked = texts.select("_d", "_t", "text").join(told.where(F.size("found") > 0).select("_d", "_t", "found"), ["_d", "_t"])
+    asked = texts.join(told.where(F.size("found") > 0).select("_d", "_t", "found"), ["_d", "_t"])
     content = map_texts(asked, ["_d", "_t"], lambda: _with_bytes, "gram long, place long, lead int, tail int, raw binary", ("found",))
     content = content.withColumnsRenamed({"_d": "d", "_t": "t"})
     late = content.repartition(n, "gram").sortWithinPartitions("gram", "d", "t", "place", "lead").mapInPandas(_by_gram, "d long, t long, a long, z long")
@@ -337,8 +340,9 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     character that was cut in two are dropped); none of them may begin with _d, _t.
     """
     columns = list(dict.fromkeys(["doc_id", "text", *(keep or ())]))
-    texts = keyed(docs.select(*columns)).repartition(partitions(docs.sparkSession), "_d", "_t")
-    spans = repeated_spans(texts)
+    given = keyed(docs.select(*columns))
+    texts = given.repartition(partitions(docs.sparkSession), "_d", "_t")
+    spans = repeated_spans(given, texts)
     made = "kept string" if keep else "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def work(given: list[str], found: pa.Array, none: pa.Array) -> tuple[None, list]:
