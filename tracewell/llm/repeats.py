@@ -260,7 +260,7 @@ def _by_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _sort_group(pd.concat(held, ignore_index=True))[0]
 
 
-def _with_bytes(texts: list[str], found: pa.Array) -> tuple[list[int], list[list]]:
+def _with_bytes(texts: list[str], found: pa.Array, *rest: pa.Array) -> tuple[list[int], list[list]]:
     """The bytes of each asked run; of a gram with many runs, cut into pieces of PIECE window starts.
 
     All windows of a piece contain its core, so equal windows have equal cores:
@@ -324,7 +324,8 @@ def repeated_spans(given: DataFrame, texts: DataFrame) -> DataFrame:
     told = told.groupBy("_d", "_t").agg(F.collect_list("decided").alias("decided"), F.collect_set("asks").alias("found"))
     told = materialize(told, "repeats")
     asked = texts.join(told.where(F.size("found") > 0).select("_d", "_t", "found"), ["_d", "_t"])
-    content = map_texts(asked, ["_d", "_t"], lambda: _with_bytes, "gram long, place long, lead int, tail int, raw binary", ("found",))
+    rest = [c for c in texts.columns if c not in ("_d", "_t", "text")]  # with the same columns as the result, the texts are shuffled once
+    content = map_texts(asked, ["_d", "_t"], lambda: _with_bytes, "gram long, place long, lead int, tail int, raw binary", ("found", *rest))
     content = content.withColumnsRenamed({"_d": "d", "_t": "t"})
     late = content.repartition(n, "gram").sortWithinPartitions("gram", "d", "t", "place", "lead").mapInPandas(_by_gram, "d long, t long, a long, z long")
     late = late.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("a", "z")).alias("late"))
