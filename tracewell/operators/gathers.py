@@ -18,12 +18,21 @@ def window_starts(n: Column, win: int, stride: int) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last, F.lit(stride).cast("long")), F.array(last))))
 
 
+def starts_over(rank: Column, n: Column, win: int, stride: int) -> Column:
+    """Of the window_starts those whose window holds the rank: at most win / stride + 1, however long the gather."""
+    last = F.greatest(n - win, F.lit(0))
+    lo = F.greatest(F.ceil((rank - (win - 1)) / stride), F.lit(0)).cast("long")
+    hi = F.least(F.floor(rank / stride), F.floor(last / stride)).cast("long")
+    none = F.expr("cast(array() as array<bigint>)")
+    regular = F.when(lo <= hi, F.transform(F.sequence(F.least(lo, hi), hi), lambda k: k * stride)).otherwise(none)
+    return F.array_distinct(F.concat(regular, F.when(rank >= last, F.array(last.cast("long"))).otherwise(none)))
+
+
 def trace_windows(ranked: DataFrame, keys: list[str], win: int, stride: int) -> DataFrame:
     """One row per trace and window: start and row inside the window."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = ranked.withColumn("_n", n).withColumn("start", F.explode(window_starts(F.col("_n"), win, stride)))
-    row = F.col("rank") - F.col("start")
-    return rows.where(row.between(0, win - 1)).withColumn("row", row).drop("_n")
+    rows = ranked.withColumn("_n", n).withColumn("start", F.explode(starts_over(F.col("rank"), F.col("_n"), win, stride)))
+    return rows.withColumn("row", F.col("rank") - F.col("start")).drop("_n")
 
 
 def padded(rows: DataFrame, keys: list[str], win: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.gathers import starts_over
+
 
 def frame(keys: list[str], lo: int, hi: int):
     return Window.partitionBy(*keys).orderBy("t").rowsBetween(lo, hi)
@@ -68,8 +70,7 @@ def tile_starts(n: Column, tile: int, overlap: int) -> Column:
 
 def tiled(rows: DataFrame, n: Column, tile: int, overlap: int) -> DataFrame:
     """Each sample once per tile that covers it."""
-    out = rows.withColumn("tile", F.explode(tile_starts(n, tile, overlap)))
-    return out.where((F.col("t") >= F.col("tile")) & (F.col("t") < F.col("tile") + tile))
+    return rows.withColumn("tile", F.explode(starts_over(F.col("t"), n, tile, tile - overlap)))
 
 
 def blended(scored: DataFrame, keys: list[str], tile: int) -> DataFrame:

@@ -49,3 +49,67 @@ def cone(t: Column, offset: Column, v_min: float, v_max: float, lo: float, hi: f
     """Whether a time lies between the fastest and the slowest arrival."""
     x = F.abs(offset)
     return (t >= x / v_max + lo) & (t <= x / v_min + hi)
+
+
+def two_piece(rows: DataFrame, keys: list[str], x: Column, y: Column, w: Column, bins: int = 10, least: int = 3) -> DataFrame:
+    """keys, xb, a1, b1, a2, b2, single: two weighted lines that meet the data best on both sides of a break.
+
+    Rows are summed once into bins of x; running sums of the bins give both
+    sides of every break between two bins, so nothing is multiplied by the number
+    of breaks. The break of the least squared error wins (the first of equals);
+    where no break leaves least rows on both sides one line serves as both.
+    """
+    r = rows.select(*keys, x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w")).where("w > 0 and x > 0")
+    span = r.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    r = r.join(span, keys).withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.expr("(x - lo) / greatest(hi - lo, 1e-9)") * bins)).cast("int"))
+    names = {"n": "1", "sw": "w", "sx": "w*x", "sy": "w*y", "sxx": "w*x*x", "sxy": "w*x*y", "syy": "w*y*y"}
+    cells = r.groupBy(*keys, "lo", "hi", "bin").agg(*[F.sum(F.expr(e)).cast("double").alias(c) for c, e in names.items()])
+    cells = cells.join(cells.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))), [*keys, "bin"], "right").fillna(0.0, [*names])
+    upto, whole = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
+    sides = cells.select(*keys, "bin", F.max("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"), *[F.sum(c).over(upto).alias(f"{c}1") for c in names], *[F.sum(c).over(whole).alias(f"{c}0") for c in names])
+    sides = sides.withColumns({f"{c}2": F.col(f"{c}0") - F.col(f"{c}1") for c in names})
+
+    def line(k: int) -> Column:
+        s = {c: F.col(f"{c}{k}") for c in names}
+        det = s["sw"] * s["sxx"] - s["sx"] * s["sx"]
+        a = F.when(det > 1e-9, (s["sw"] * s["sxy"] - s["sx"] * s["sy"]) / det).otherwise(0.0)
+        b = F.when(s["sw"] > 0, (s["sy"] - a * s["sx"]) / s["sw"]).otherwise(0.0)
+        return F.struct(a.alias("a"), b.alias("b"), (s["syy"] - b * s["sy"] - a * s["sxy"]).alias("sse"))
+
+    fits = sides.withColumns({"l1": line(1), "l2": line(2), "l0": line(0)})
+    split = (F.col("n1") >= least) & (F.col("n2") >= least) & (F.col("bin") < bins - 1)
+    xb = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + 1) / bins
+    best = F.min(F.when(split, F.struct((F.col("l1.sse") + F.col("l2.sse")).alias("sse"), "bin", xb.alias("xb"), "l1", "l2")))
+    out = fits.groupBy(*keys).agg(best.alias("best"), F.first("l0").alias("l0"), F.first(F.expr("(lo + hi) / 2")).alias("mid"))
+    pick = lambda c, d: F.coalesce(F.col(f"best.{c}"), F.col(d))
+    return out.select(*keys, pick("xb", "mid").alias("xb"), pick("l1.a", "l0.a").alias("a1"), pick("l1.b", "l0.b").alias("b1"), pick("l2.a", "l0.a").alias("a2"), pick("l2.b", "l0.b").alias("b2"), F.col("best").isNull().alias("single"))
+
+
+def projected_slopes(coef: DataFrame, v_min: float, v_max: float, eps: float) -> DataFrame:
+    """Coefficients within the speeds allowed, the first slope steeper than the second by eps, pieces meeting at the break."""
+    lo, hi = 1.0 / v_max, 1.0 / v_min
+    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
+    out = coef.withColumn("a1", clip("a1")).withColumn("a2", clip("a2"))
+    lower, upper = F.least(F.col("a2"), F.col("a1") - eps), F.greatest(F.col("a1"), F.col("a2") + eps)
+    fine = F.col("a1") > F.col("a2") + eps
+    a2 = F.when(fine, F.col("a2")).when(lower >= lo, lower).when(upper <= hi, F.col("a2")).otherwise(lo)
+    a1 = F.when(fine | (lower >= lo), F.col("a1")).when(upper <= hi, upper).otherwise(hi)
+    out = out.withColumns({"_a1": a1, "_a2": a2}).drop("a1", "a2").withColumnsRenamed({"_a1": "a1", "_a2": "a2"})
+    return out.withColumn("b2", F.expr("a1 * xb + b1 - a2 * xb"))
+
+
+def piecewise(x: Column, coef: Column) -> Column:
+    """The line before the break (at it too) or behind it; coef: struct xb, a1, b1, a2, b2."""
+    return F.when(x <= coef["xb"], coef["a1"] * x + coef["b1"]).when(x > coef["xb"], coef["a2"] * x + coef["b2"])
+
+
+def global_trend(rows: DataFrame, keys: list[str], x: str, side: str, y: Column, w: Column, v_min: float, v_max: float, eps: float, side_least: int, bins: int = 10) -> DataFrame:
+    """rows with trend: the side's two-piece line where a side (sign of the column side) has side_least rows, else that of all rows."""
+    good = rows.where(w > 0)
+    fit = lambda r, k: projected_slopes(two_piece(r, k, F.col(x), y, w, bins), v_min, v_max, eps).select(*k, F.struct("xb", "a1", "b1", "a2", "b2").alias("coef"))
+    whole = fit(good, keys).withColumnRenamed("coef", "_all")
+    sided = good.where(f"{side} <> 0").withColumn("_sign", F.signum(side).cast("int"))
+    many = sided.groupBy(*keys, "_sign").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= side_least).drop("_n")
+    own = fit(sided.join(many, [*keys, "_sign"]), [*keys, "_sign"]).withColumnRenamed("coef", "_own")
+    out = rows.withColumn("_sign", F.signum(side).cast("int")).join(whole, keys, "left").join(own, [*keys, "_sign"], "left")
+    return out.withColumn("trend", piecewise(F.col(x), F.coalesce("_own", "_all"))).drop("_own", "_all", "_sign")

@@ -346,9 +346,10 @@ def residual_confidence(spark, sf_dir):
     return rows.withColumn("confidence", L.residual_confidence(rows, ["file_id"], 4, 200.0, 6)).select("file_id", "trace_idx", _r("confidence"))
 
 
-@query(f"with {WAVE}, s as (select unnest([0, 16, 32, 40]) as tile) select trace_idx, t, round(x, 6) as y, count(*) as tiles from wave join s on t >= tile and t < tile + 24 group by trace_idx, t, x")
+@query(f"with {WAVE}, s as (select unnest([0, 16, 32, 40]) as tile), y as (select trace_idx, t, x * (1 + tile / 100.0::double) + t - tile as y, greatest(0.5::double - 0.5::double * cos(2 * pi() * (t - tile) / 23), 1e-3::double) as w from wave join s on t >= tile and t < tile + 24) select trace_idx, t, round(sum(w * y) / sum(w), 6) as y, count(*) as tiles from y group by trace_idx, t")
 def tile_blend(spark, sf_dir):
-    rows = L.tiled(trace_samples(spark, sf_dir), F.lit(64).cast("long"), 24, 8).withColumn("y", F.col("x"))
+    """A score that differs by tile, so that the weights of the blend show."""
+    rows = L.tiled(trace_samples(spark, sf_dir), F.lit(64).cast("long"), 24, 8).withColumn("y", F.expr("x * (1 + tile / 100.0D) + t - tile"))
     return L.blended(rows, ["trace_idx"], 24).select("trace_idx", F.col("t").cast("long").alias("t"), _r("y"), "tiles")
 
 
@@ -415,12 +416,12 @@ def regression_errors(spark, sf_dir):
     return e.groupBy("ffid").agg(F.round(F.avg(F.abs("d")), 6).alias("l1"), F.round(F.avg(F.expr("d * d")), 6).alias("l2"), F.round(F.avg(huber), 6).alias("huber"))
 
 
-@query(f"with {PROB}, y as (select trace_idx, ffid, p, exp(-0.5::double * ((t - trace_idx % 64) / 3.0::double) ** 2) as g from prob), n as (select trace_idx, ffid, p, g / sum(g) over (partition by trace_idx) as g from y), c as (select trace_idx, ffid, -sum(g * ln(greatest(p, 1e-12::double))) as ce from n group by 1, 2) select ffid, round(avg(ce), 5) as ce from c where trace_idx % 7 <> 0 group by 1")
+@query(f"with {PROB}, y as (select trace_idx, ffid, p, exp(-0.5::double * ((t - trace_idx % 64) / 3.0::double) ** 2) as g from prob), n as (select trace_idx, ffid, p, g / sum(g) over (partition by trace_idx) as g from y), c as (select trace_idx, ffid, -sum(g * ln(greatest(p, 1e-12::double))) as ce from n group by 1, 2) select ffid, round(avg(ce), 5) as ce, count(*) as traces from c group by 1")
 def soft_label_ce(spark, sf_dir):
-    y = _prob(spark, sf_dir).where(F.col("trace_idx") % 7 != 0).withColumn("g", S.gaussian(F.col("trace_idx") % 64 + 1, 65, 3.0))
+    y = _prob(spark, sf_dir).withColumn("g", S.gaussian(F.col("trace_idx") % 64 + 1, 65, 3.0))
     g = S.let(F.slice("g", F.lit(2), F.lit(64)), lambda a: S.let(S.total(a), lambda s: F.transform(a, lambda v: v / s)))
     ce = -S.total(F.zip_with(g, "prob", lambda u, p: u * F.log(F.greatest(p, F.lit(1e-12)))))
-    return y.select("ffid", ce.alias("ce")).groupBy("ffid").agg(F.round(F.avg("ce"), 5).alias("ce"))
+    return y.select("ffid", ce.alias("ce")).groupBy("ffid").agg(F.round(F.avg("ce"), 5).alias("ce"), F.count(F.lit(1)).alias("traces"))
 
 
 NEAR = f"{WAVE}, r as (select trace_idx, ffid, row_number() over (partition by ffid order by trace_idx) as r from (select distinct trace_idx, ffid from wave)), w as (select wave.*, r.r from wave join r using (trace_idx, ffid))"
