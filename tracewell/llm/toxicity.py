@@ -145,8 +145,8 @@ class Words:
             docs.update({f for k in np.unique(t).tolist() for f in own[k]})
         self.names = sorted(f for f, n in docs.items() if n >= MIN_DOCS)
         index = {f: k for k, f in enumerate(self.names)}
-        pairs = [(k, index[f]) for k, fs in enumerate(own) for f in fs if f in index]
-        self.word, self.feature = np.array(pairs, np.int32).reshape(-1, 2).T
+        self.word = np.fromiter((k for k, fs in enumerate(own) for f in fs if f in index), np.int32)
+        self.feature = np.fromiter((index[f] for fs in own for f in fs if f in index), np.int32)
         self.n = len(number)
 
 
