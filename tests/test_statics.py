@@ -41,3 +41,19 @@ def test_trend_of_a_line_ignores_an_outlier(spark):
     out = statics.robust_trend(frame, ["g"], 20, 20, rounds=30).where("covered").collect()
     assert len(out) == 18
     assert all(abs(r.trend_t - (0.1 + 0.05 * r.rank)) < 0.05 for r in out)
+
+
+def test_consensus_trend_follows_the_inliers(spark):
+    """A third of the picks lie on a wrong line; no-weight sections and equal offsets have no line."""
+    rows = [(0, k, 24, 10.0 * k, 0.1 + 10.0 * k / 2000 + (0.5 + 0.02 * k if k % 3 == 0 else 0), 1, 1.0) for k in range(24)]
+    rows += [(1, k, 6, 10.0 * k, 0.1, 0, 1.0) for k in range(6)]  # none valid
+    rows += [(2, k, 6, 50.0, 0.1, 1, 1.0) for k in range(6)]  # one offset
+    rows += [(3, k, 3, 10.0 * k, 0.1, 1, 1.0) for k in range(3)]  # too short
+    frame = spark.createDataFrame(rows, "g int, rank long, n long, x double, y double, valid int, w double")
+    out = statics.consensus_trend(frame, ["g"], 24, 24, "s", tau=0.0).collect()
+    assert {r.g for r in out} == {0}
+    covered = [r for r in out if r.covered]
+    assert [r["rank"] for r in sorted(covered)] == [k for k in range(1, 23) if k % 3]
+    for r in covered:
+        assert abs(r.trend_t - (0.1 + 10.0 * r["rank"] / 2000)) < 1e-9 and abs(r.trend_s - 1 / 2000) < 1e-9
+    assert statics.consensus_trend(frame.limit(0), ["g"], 24, 24, "s").count() == 0

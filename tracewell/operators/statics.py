@@ -6,13 +6,15 @@ of channels does). Trends are native; at most one section of rows meets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.signal import let, total
-from tracewell.operators.gathers import trace_windows
+from tracewell.operators.gathers import trace_windows, uniform
 
 
 def reference(x: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,22 +122,80 @@ def robust_trend(rows: DataFrame, keys: list[str], size: int, stride: int, round
     rows hold rank (by offset), n, x, y, valid (0 or 1) and w. Sections of
     fewer than four rows are left out; slopes are held to the speed bounds.
     """
-    each = rows.withColumn("start", F.explode(sections(F.col("rank"), F.col("n"), size, stride)))
-    part = each.groupBy(*keys, "start").agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y", F.col("valid").cast("double").alias("v"), F.col("w").cast("double").alias("p")))).alias("r")).where(F.size("r") >= 4)
-    part = part.withColumn("u", F.transform("r", lambda e: e["v"] * e["p"]))
+    part = _section_rows(rows, keys, size, stride).withColumn("u", F.transform("r", lambda e: e["v"] * e["p"]))
     for _ in range(rounds):
-        add = lambda f: total(F.zip_with("r", "u", f))
-        part = part.withColumns({"sw": F.greatest(total(F.col("u")), F.lit(1e-12)), "sx": add(lambda e, u: u * e["x"]), "sy": add(lambda e, u: u * e["y"]), "sxx": add(lambda e, u: u * e["x"] * e["x"]), "sxy": add(lambda e, u: u * e["x"] * e["y"])})
-        part = part.withColumn("b", F.expr("(sw * sxy - sx * sy) / greatest(sw * sxx - sx * sx, 1e-12D)"))
-        part = part.withColumn("a", F.expr("(sy - b * sx) / sw"))
-        part = part.withColumn("res", F.transform("r", lambda e: (e["y"] - F.col("a") - F.col("b") * e["x"]) * e["v"]))
-        middle = let(F.array_sort(F.transform("res", F.abs)), lambda s: F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")))
-        part = part.withColumn("scale", huber * F.greatest(1.4826 * middle, F.lit(1e-6)))
+        part = _refitted(part)
+        part = part.withColumn("scale", huber * F.greatest(1.4826 * _middle(F.transform("res", F.abs)), F.lit(1e-6)))
         weigh = lambda e, d: e["v"] * e["p"] * F.when(F.abs(d) <= F.col("scale"), 1.0).otherwise(F.least(F.col("scale") / F.abs(d), F.lit(10.0)))
         part = part.withColumn("u", F.zip_with("r", "res", weigh))
+    return _blended(part, keys, lambda e, g: e["v"] * e["p"], v_min, v_max)
+
+
+def consensus_trend(rows: DataFrame, keys: list[str], size: int, stride: int, seed: str, trials: int = 32, tau: float = 2.0, floor: float = 0.015, rounds: int = 1, v_min: float = 300.0, v_max: float = 6000.0) -> DataFrame:
+    """keys, rank, trend_t, trend_s, covered, as robust_trend; a section's line is the one of most inlier weight among sampled pairs.
+
+    Pairs are drawn by weight from hashes of seed, keys, section and trial, so
+    they repeat. Inliers lie within tau deviations (median form) of the section's
+    times, or floor seconds. The best pair's line (the first of equals) is refitted
+    to its inliers. A section without weight, or with no pair of different x, has
+    no line and covers nothing.
+    """
+    part = _section_rows(rows, keys, size, stride)
+    part = part.withColumn("tot", total(F.transform("r", lambda e: e["v"] * e["p"]))).where("tot > 0")
+    upto = F.transform("r", lambda e, i: total(F.transform(F.slice("r", F.lit(1), i + 1), lambda o: o["v"] * o["p"])))
+    spread = let(_middle(F.transform("r", lambda e: e["y"])), lambda m: _middle(F.transform("r", lambda e: F.abs(e["y"] - m))))
+    limit = F.greatest(tau * F.greatest(1.4826 * spread, F.lit(1e-6)), F.lit(floor))
+    other = lambda i, j: F.when(i == j, (j + 1) % F.size("r")).otherwise(j)
+    score = lambda a, b, thr: total(F.transform("r", lambda e: F.when(F.abs((e["y"] - a - b * e["x"]) * e["v"]) <= thr, e["v"] * e["p"]).otherwise(0.0)))
+
+    def drawn(g: Column, k: Column, side: str) -> Column:
+        at = uniform(F.lit(seed), *map(F.col, keys), F.col("start"), k, F.lit(side)) * g["tot"]
+        return let(at, lambda at: F.size(F.filter(g["c"], lambda c: c <= at)))
+
+    def line(e: Column, o: Column, k: Column, thr: Column) -> Column:
+        slope = F.when(F.abs(o["x"] - e["x"]) >= 1e-6, (o["y"] - e["y"]) / (o["x"] - e["x"]))
+        ends = let(slope, lambda b: F.struct((e["y"] - b * e["x"]).alias("a"), b.alias("b")))
+        return let(ends, lambda q: F.when(q["b"].isNotNull(), F.struct(score(q["a"], q["b"], thr).alias("score"), (-k).alias("k"), q["a"].alias("a"), q["b"].alias("b"))))
+
+    def best(g: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda k: F.struct(k.alias("k"), drawn(g, k, "1").alias("i"), drawn(g, k, "2").alias("j")))
+        return F.array_max(F.transform(pairs, lambda p: line(F.get("r", p["i"]), F.get("r", other(p["i"], p["j"])), p["k"], g["thr"])))
+
+    found = let(F.struct(upto.alias("c"), F.col("tot"), limit.alias("thr")), lambda g: F.struct(best(g).alias("best"), g["thr"].alias("thr")))
+    part = part.select(*keys, "start", "r", F.explode(F.filter(F.array(found), lambda f: f["best"].isNotNull())).alias("f"))
+    part = part.select(*keys, "start", "r", F.col("f.thr").alias("thr"), F.col("f.best.a").alias("a"), F.col("f.best.b").alias("b"))
+    within = lambda e, g: F.when(F.abs((e["y"] - g["a"] - g["b"] * e["x"]) * e["v"]) <= F.col("thr"), e["v"] * e["p"]).otherwise(0.0)
+    for _ in range(rounds):
+        part = _refitted(part.withColumn("u", let(F.struct("a", "b"), lambda g: F.transform("r", lambda e: within(e, g)))))
+    return _blended(part, keys, within, v_min, v_max)
+
+
+def _section_rows(rows: DataFrame, keys: list[str], size: int, stride: int) -> DataFrame:
+    """keys, start, r: the rows of every section of four or more, by rank."""
+    each = rows.withColumn("start", F.explode(sections(F.col("rank"), F.col("n"), size, stride)))
+    return each.groupBy(*keys, "start").agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y", F.col("valid").cast("double").alias("v"), F.col("w").cast("double").alias("p")))).alias("r")).where(F.size("r") >= 4)
+
+
+def _middle(a: Column) -> Column:
+    """The lower median."""
+    return let(F.array_sort(a), lambda s: F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")))
+
+
+def _refitted(part: DataFrame) -> DataFrame:
+    """a, b and res of the line by weights u."""
+    add = lambda f: total(F.zip_with("r", "u", f))
+    part = part.withColumns({"sw": F.greatest(total(F.col("u")), F.lit(1e-12)), "sx": add(lambda e, u: u * e["x"]), "sy": add(lambda e, u: u * e["y"]), "sxx": add(lambda e, u: u * e["x"] * e["x"]), "sxy": add(lambda e, u: u * e["x"] * e["y"])})
+    part = part.withColumn("b", F.expr("(sw * sxy - sx * sy) / greatest(sw * sxx - sx * sx, 1e-12D)"))
+    part = part.withColumn("a", F.expr("(sy - b * sx) / sw"))
+    return part.withColumn("res", let(F.struct("a", "b"), lambda g: F.transform("r", lambda e: (e["y"] - g["a"] - g["b"] * e["x"]) * e["v"])))
+
+
+def _blended(part: DataFrame, keys: list[str], weight: Callable[[Column, Column], Column], v_min: float, v_max: float) -> DataFrame:
+    """keys, rank, trend_t, trend_s, covered: the sections' lines averaged by hann tapers times weight."""
     slow = F.least(F.greatest(F.col("b"), F.lit(1 / v_max)), F.lit(1 / v_min))
-    taper = lambda e, i: (0.5 - 0.5 * F.cos(2 * F.pi() * i / (F.size("r") - 1))) * e["v"] * e["p"]
-    blend = F.transform("r", lambda e, i: F.struct(e["rank"].alias("rank"), (F.col("a") + F.col("b") * e["x"]).alias("t"), taper(e, i).alias("w")))
+    taper = lambda i: 0.5 - 0.5 * F.cos(2 * F.pi() * i / (F.size("r") - 1))
+    each = lambda g: F.transform("r", lambda e, i: F.struct(e["rank"].alias("rank"), (g["a"] + g["b"] * e["x"]).alias("t"), (taper(i) * weight(e, g)).alias("w")))
+    blend = let(F.struct("a", "b"), each)
     out = part.select(*keys, slow.alias("_s"), F.explode(blend).alias("e")).groupBy(*keys, F.col("e.rank").alias("rank")).agg(F.sum("e.w").alias("c"), F.sum(F.expr("e.w * e.t")).alias("t"), F.sum(F.expr("e.w * _s")).alias("s"))
     return out.select(*keys, "rank", *[(F.col(k) / F.greatest(F.col("c"), F.lit(1e-6))).alias(f"trend_{k}") for k in ("t", "s")], (F.col("c") > 0).alias("covered"))
 

@@ -45,13 +45,42 @@ f{k} as (select r{k}.*, v * p * case when abs(res) <= scale then 1 else least(sc
 @query(f"""with {SECTIONS}, {", ".join(_round_sql(k) for k in range(3))}, w as (select *, (0.5 - 0.5 * cos(2 * pi() * i / (l - 1))) * v * p as t from f2)
 select file_id, ffid, rank, round(sum(t * (a + b * x)) / greatest(sum(t), 1e-6), 4) as trend_t, round(sum(t * least(greatest(b, 1 / 8000.0::double), 1 / 300.0::double)) / greatest(sum(t), 1e-6), 6) as trend_s, sum(t) > 0 as covered from w group by 1, 2, 3""")
 def robust_trend(spark, sf_dir):
+    return _trend(R.robust_trend(_by_offset(spark, sf_dir), GATHER, 16, 8))
+
+
+def _by_offset(spark, sf_dir):
+    """First breaks in seconds, ranked by offset in their gather."""
     gather = Window.partitionBy(*GATHER)
     rank = (F.row_number().over(gather.orderBy("offset_m", "trace_idx")) - 1).cast("long")
-    rows = trace_hdr(spark, sf_dir).select(*GATHER, rank.alias("rank"), F.count(F.lit(1)).over(gather).alias("n"), F.col("offset_m").alias("x"), (F.col("fb") * 0.004).alias("y"), (F.col("fb") > 0).cast("int").alias("valid"), (1 + F.col("chno") % 3).alias("w"))
-    out = R.robust_trend(rows, GATHER, 16, 8)
+    return trace_hdr(spark, sf_dir).select(*GATHER, rank.alias("rank"), F.count(F.lit(1)).over(gather).alias("n"), F.col("offset_m").alias("x"), (F.col("fb") * 0.004).alias("y"), (F.col("fb") > 0).cast("int").alias("valid"), (1 + F.col("chno") % 3).alias("w"))
+
+
+def _trend(out):
     return out.select(*GATHER, "rank", F.round("trend_t", 4).alias("trend_t"), rounded("trend_s"), "covered")
 
 
+def _drawn(side: int) -> str:
+    return f"('0x' || substr(md5('7:' || file_id || ':' || ffid || ':' || start || ':' || k || ':{side}'), 1, 8))::bigint / 4294967296.0::double * tot"
+
+
+@query(f"""with {SECTIONS}, m as (select file_id, ffid, start, quantile_disc(y, 0.5) as med from q0 group by 1, 2, 3),
+h as (select file_id, ffid, start, sum(u) as tot, greatest(2 * greatest(1.4826 * quantile_disc(abs(y - med), 0.5), 1e-6), 0.015::double) as thr from q0 join m using (file_id, ffid, start) group by 1, 2, 3 having sum(u) > 0),
+z as materialized (select q0.*, tot, thr, sum(u) over (partition by file_id, ffid, start order by i) as c from q0 join h using (file_id, ffid, start)),
+k as (select file_id, ffid, start, k, {_drawn(1)} as d1, {_drawn(2)} as d2 from h cross join (select unnest(generate_series(0, 7)) as k)),
+d as (select file_id, ffid, start, k, l, count(*) filter (where c <= d1) as i1, count(*) filter (where c <= d2) as i2 from k join z using (file_id, ffid, start) group by 1, 2, 3, 4, 5),
+ends as (select file_id, ffid, start, k, i1, case when i1 = i2 then (i2 + 1) % l else i2 end as i2 from d),
+lines as (select e.file_id, e.ffid, e.start, k, (g.y - f.y) / (g.x - f.x) as b, f.y - (g.y - f.y) / (g.x - f.x) * f.x as a from ends e join z f on e.file_id = f.file_id and e.ffid = f.ffid and e.start = f.start and e.i1 = f.i join z g on e.file_id = g.file_id and e.ffid = g.ffid and e.start = g.start and e.i2 = g.i where abs(g.x - f.x) >= 1e-6),
+tried as (select file_id, ffid, start, k, a, b, sum(case when abs((y - a - b * x) * v) <= thr then u else 0 end) as score from lines join z using (file_id, ffid, start) group by 1, 2, 3, 4, 5, 6),
+w as (select file_id, ffid, start, a, b from tried qualify row_number() over (partition by file_id, ffid, start order by score desc, k) = 1),
+q1 as (select z.* exclude (u), case when abs((y - a - b * x) * v) <= thr then u else 0 end as u from z join w using (file_id, ffid, start)),
+s1 as (select file_id, ffid, start, greatest(sum(u), 1e-12) as sw, sum(u * x) as sx, sum(u * y) as sy, sum(u * x * x) as sxx, sum(u * x * y) as sxy from q1 group by 1, 2, 3),
+b1 as (select *, (sw * sxy - sx * sy) / greatest(sw * sxx - sx * sx, 1e-12) as b from s1), a1 as (select file_id, ffid, start, b, (sy - b * sx) / sw as a from b1),
+t as (select z.*, a, b, (0.5 - 0.5 * cos(2 * pi() * i / (l - 1))) * case when abs((y - a - b * x) * v) <= thr then u else 0 end as t from z join a1 using (file_id, ffid, start))
+select file_id, ffid, rank, round(sum(t * (a + b * x)) / greatest(sum(t), 1e-6), 4) as trend_t, round(sum(t * least(greatest(b, 1 / 6000.0::double), 1 / 300.0::double)) / greatest(sum(t), 1e-6), 6) as trend_s, sum(t) > 0 as covered from t group by 1, 2, 3""")
+def consensus_trend(spark, sf_dir):
+    return _trend(R.consensus_trend(_by_offset(spark, sf_dir), GATHER, 16, 8, "7", 8))
+
+
 @query(f"""with {PROB}, c as (select trace_idx, ffid, greatest(1 + sum(case when p > 0 then p * ln(p) else 0 end) / ln(64), 0) as c from prob group by 1, 2), g as (select ffid, quantile_disc(c, 0.5) >= 0.06 as gate from c group by 1),
 f as (select trace_idx, t, 40 * x as l, greatest(exp(-0.5::double * ((t * 0.004::double - offset_m / 5000.0::double) / 0.02::double) ** 2) / 64, 1e-12) as pr, gate from wave join g using (ffid))
 select trace_idx, t, round(case when gate then least(greatest(least(greatest(l, -30), 30) + ln(pr), -30), 30) else least(greatest(l, -30), 30) end, 6) as y from f""")
