@@ -18,8 +18,8 @@ order of doc_id: the order is cut into ranges, and one row a range carries the o
 from a range to the next. Texts are shuffled once.
 
 Defined cases: null texts are empty; a text without a word has an empty fingerprint,
-and two of those have likeness 1; a text of fewer than K words has one anchor, the
-whole sequence; null doc_ids come last in the order, rows that share a doc_id are
+and two of those have likeness 1; a text in which no k-mer is an anchor (one of few words)
+has one anchor, the whole sequence; null doc_ids come last in the order, rows that share a doc_id are
 ordered by a hash of the text, and repeated rows follow one another; a single document
 is its own next one; very long texts are read whole; an empty table gives an empty
 result; other columns of docs are not read, whatever their names.
@@ -50,7 +50,8 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     chosen = F.transform(F.filter(F.sequence(F.lit(0), n - K), closed), lambda i: narrow(F.xxhash64(at(i, 0), at(i, 2), at(i, K - S))))
     short = F.when(n > 0, F.array(narrow(F.xxhash64("_h")))).otherwise(F.array().cast("array<int>"))
     hashed = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w))).withColumn("_s", inner)
-    return hashed.withColumn(out, F.when(n < K, short).otherwise(chosen)).drop("_h", "_s")
+    hashed = hashed.withColumn("_c", F.when(n >= K, chosen))
+    return hashed.withColumn(out, F.when(F.size(F.coalesce("_c", F.array().cast("array<int>"))) == 0, short).otherwise(F.col("_c"))).drop("_h", "_s", "_c")
 
 
 def written(anchors: str) -> Column:
