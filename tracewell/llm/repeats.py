@@ -6,6 +6,8 @@ hundred times over, so the most significant digit is content-defined: of a
 window, the GRAM-byte string with the least hash (leftmost of equals) and its
 place. Equal windows have equal digits, and neighbouring windows share one.
 
+0. Windows that equal one up to FAR places earlier in their text (runs of a
+   character, short periods) are repeats at once; they need no digit.
 1. Digit one, in the map: a row per run of windows with the same digit, carrying
    the gram's hash and the run's place. Runs of a batch that equal an earlier one
    byte for byte are repeats at once (a map-side combine, which takes the weight
@@ -50,6 +52,8 @@ LENGTH = 100
 GRAM = 32
 PRIME = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
+#: Longest period of a stretch that is settled by comparing the text with itself.
+FAR = 64
 #: Window starts hashed at once.
 BLOCK = 1 << 16
 #: Bytes of run content sorted at once.
@@ -86,16 +90,34 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - rest], a[rest:]) if rest else a
 
 
-def runs(raw: bytes) -> np.ndarray:
-    """Rows (gram hash, first window, last window, gram's place) over all windows of a text."""
+def periodic(b: np.ndarray) -> np.ndarray:
+    """Whether each window of a text equals the one q places earlier, for a q up to FAR."""
+    edge = np.zeros(max(len(b) - LENGTH, -1) + 2, np.int64)
+    step, least = LENGTH // 4, 4  # a stretch of LENGTH bytes holds so many of every step-th place
+    for q in range(1, min(FAR, len(b) - LENGTH) + 1):
+        hit = b[:-q:step] == b[q::step]
+        if not np.logical_and.reduce([hit[k : len(hit) - least + 1 + k] for k in range(least)]).any():
+            continue
+        same = np.concatenate([[False], b[:-q] == b[q:], [False]])
+        start, end = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2).T
+        long = end - start >= LENGTH
+        np.add.at(edge, start[long] + q, 1)
+        np.add.at(edge, end[long] + q - LENGTH + 1, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def runs(raw: bytes, skip: np.ndarray) -> np.ndarray:
+    """Rows (gram hash, first window, last window, gram's place) over all windows of a text but those to skip."""
     out = []
     b = np.frombuffer(raw, np.uint8)
     width = LENGTH - GRAM + 1
     for at in range(0, len(b) - LENGTH + 1, BLOCK):
         h = gram_hashes(b[at : at + BLOCK + LENGTH - 1])
         low = sliding_min(h, width)
-        s0 = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        skipped = skip[at : at + len(low)]
+        s0 = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (skipped[1:] != skipped[:-1])))
         s1 = np.append(s0[1:] - 1, len(low) - 1)
+        s0, s1 = s0[~skipped[s0]], s1[~skipped[s0]]
         reach = np.arange(width)
         while len(s0):
             p = np.concatenate([s0[k : k + 4096] + h[s0[k : k + 4096, None] + reach].argmin(axis=1) for k in range(0, len(s0), 4096)])
@@ -111,16 +133,22 @@ def first_digit(texts: list[str | None], d: pa.Array, t: pa.Array, hot: np.ndarr
     import xxhash
 
     docs, found, content = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)], []
+    own = [np.zeros((0, 3), np.int64)]  # text, begin and end of stretches that repeat what stands a period earlier
     raws = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
     for k, raw in enumerate(raws):
-        r = runs(raw)
+        skip = periodic(np.frombuffer(raw, np.uint8))
+        if skip.any():
+            padded = np.concatenate([[False], skip, [False]])
+            begin, end = np.flatnonzero(padded[1:] != padded[:-1]).reshape(-1, 2).T
+            own.append(np.stack([np.full(len(begin), k), begin, end - 1 + LENGTH], axis=1))
+        r = runs(raw, skip)
         if len(hot) and len(r):
             split = np.isin(r[:, 0], hot)
             if split.any():
                 n = r[split, 2] - r[split, 1] + 1
                 start = np.repeat(r[split, 1] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                own = np.array([xxhash.xxh3_64_intdigest(raw[x : x + LENGTH], 1) for x in start.tolist()], np.uint64).view(np.int64)
-                r = np.concatenate([r[~split], np.stack([own, start, start, np.repeat(r[split, 3], n)], axis=1)])
+                whole = np.array([xxhash.xxh3_64_intdigest(raw[x : x + LENGTH], 1) for x in start.tolist()], np.uint64).view(np.int64)
+                r = np.concatenate([r[~split], np.stack([whole, start, start, np.repeat(r[split, 3], n)], axis=1)])
         docs.append(np.full(len(r), k, np.int64))
         found.append(r)
         content += [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(r[:, 1].tolist(), (r[:, 2] + LENGTH).tolist(), strict=True)]
@@ -140,7 +168,8 @@ def first_digit(texts: list[str | None], d: pa.Array, t: pa.Array, hot: np.ndarr
     itself = (d == d[first]) & (t == t[first]) & (r[:, 3] == r[first, 3]) & (r[:, 1] == r[first, 1])  # a repeated row
     gone, left = twin & ~itself, ~twin
     spot = (r[left, 3] << 14) | (r[left, 3] - r[left, 1] << 7) | (r[left, 3] - r[left, 2])
-    at, a, z = touching(docs[gone], r[gone, 1], r[gone, 2] + LENGTH)
+    own = np.concatenate(own)
+    at, a, z = touching(np.concatenate([docs[gone], own[:, 0]]), np.concatenate([r[gone, 1], own[:, 1]]), np.concatenate([r[gone, 2] + LENGTH, own[:, 2]]))
     mark = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in np.stack([at, a], axis=1)], np.uint64).view(np.int64)  # deals them out
     return np.concatenate([docs[left], at]), [np.concatenate([r[left, 0], mark]), np.concatenate([spot, ~(a << 32 | z - a)])]
 
