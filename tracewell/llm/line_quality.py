@@ -3,8 +3,8 @@
 Lines are normalised (ASCII lower case, digits to 0, white space folded) and
 hashed. For each host (the column source) the documents (rows) that hold a line
 are counted. A line found in more than max(min_docs, share * documents of the
-host) documents is removed. A document that loses more than max_loss of its
-words is depleted and rejected. With once_per_text equal texts of one host count
+host) documents is removed. A document that loses lines is depleted and
+rejected if more than max_loss of its words go or fewer than MIN_WORDS are left. With once_per_text equal texts of one host count
 as one document, so that a page copied word for word is no boilerplate.
 
 Defined cases: null text has no word, fails the base rules and is rejected; an
@@ -119,7 +119,9 @@ def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE
     """Verdict per document: base counts, removed line positions, lost words, kept."""
     hits = line_hits(docs, frequent_lines(docs, min_docs, share, once_per_text))
     out = base_rules(docs).join(hits, KEY, "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0).cast("long")))
-    kept = ~F.col("base_failed") & (F.col("lost_words") <= max_loss * F.col("n_words"))
+    left = F.col("n_words") - F.col("lost_words")
+    depleted = (F.col("lost_words") > 0) & ((F.col("lost_words") > max_loss * F.col("n_words")) | (left < MIN_WORDS))
+    kept = ~F.col("base_failed") & ~depleted
     return out.withColumn("kept", kept).drop(*KEY)
 
 
