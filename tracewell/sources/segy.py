@@ -1,13 +1,12 @@
 """SEG-Y files as trace rows.
 
-Files come through Spark's binary reader, so any store it knows will do; a file
-is one row and must be under 2 GB. Sample formats 1 (IBM float) and 5 (IEEE).
+Reading goes by byte ranges (segy_ranges.py), so a file of any size is split. The
+writers `file_bytes` and `like_input` hold a file whole, under 2 GB; for larger ones
+see segy_output.py. Sample formats 1 (IBM float) and 5 (IEEE).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,39 +25,46 @@ def ibm_to_float(raw: np.ndarray) -> np.ndarray:
     return (sign * (raw & 0xFFFFFF) / float(1 << 24) * 16.0**power).astype(np.float32)
 
 
-def traces(content: bytes, big: bool = True, headers_only: bool = False) -> dict[str, np.ndarray]:
-    e = ">" if big else "<"
-    dt, ns, kind = (int(np.frombuffer(content, e + "u2", 1, TEXT + k)[0]) for k in (16, 20, 24))
+def layout(head: bytes, big: bool = True) -> tuple[int, int, int]:
+    """Sample step in microseconds, samples a trace and sample format of a file's first 3600 bytes."""
+    dt, ns, kind = (int(np.frombuffer(head, (">" if big else "<") + "u2", 1, TEXT + k)[0]) for k in (16, 20, 24))
     if kind not in (1, 5):
         raise ValueError(f"sample format {kind} is not supported")
+    return dt, ns, kind
+
+
+def header_columns(rows: np.ndarray, big: bool = True, fields: dict[str, tuple[int, int]] = FIELDS) -> dict[str, np.ndarray]:
+    """Header fields of traces given as rows of bytes."""
+    e = ">" if big else "<"
+    return {k: np.ascontiguousarray(rows[:, p - 1 : p - 1 + w]).view(f"{e}i{w}")[:, 0].astype(np.int32) for k, (p, w) in fields.items()}
+
+
+def sample_rows(rows: np.ndarray, kind: int, big: bool = True) -> np.ndarray:
+    """Samples of traces given as rows of bytes."""
+    raw, e = np.ascontiguousarray(rows[:, TRACE:]), ">" if big else "<"
+    return ibm_to_float(raw.view(e + "u4").astype(np.uint32)) if kind == 1 else raw.view(e + "f4").astype(np.float32)
+
+
+def traces(content: bytes, big: bool = True, headers_only: bool = False) -> dict[str, np.ndarray]:
+    dt, ns, kind = layout(content, big)
     body = np.frombuffer(content, np.uint8, offset=TEXT + BINARY)
     size = TRACE + 4 * ns
     if len(body) % size:
         raise ValueError("the file does not hold whole traces")
     rows = body.reshape(-1, size)
-    out = {k: np.ascontiguousarray(rows[:, p - 1 : p - 1 + w]).view(f"{e}i{w}")[:, 0].astype(np.int32) for k, (p, w) in FIELDS.items()}
+    out = header_columns(rows, big)
     out["dt_us"] = np.full(len(rows), dt, np.int32)
     if not headers_only:
-        raw = np.ascontiguousarray(rows[:, TRACE:])
-        out["samples"] = ibm_to_float(raw.view(e + "u4").astype(np.uint32)) if kind == 1 else raw.view(e + "f4").astype(np.float32)
+        out["samples"] = sample_rows(rows, kind, big)
     return out
 
 
 def read(spark: SparkSession, path: str, big: bool = True, headers_only: bool = False) -> DataFrame:
-    """One row per trace; headers_only leaves the samples null."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                found = traces(content, big, headers_only)
-                n = len(found["ffid"])
-                for at in range(0, n, 1024):
-                    part = {k: list(v[at : at + 1024]) for k, v in found.items()}
-                    part.setdefault("samples", [None] * len(part["ffid"]))
-                    yield pd.DataFrame({"file": name, "trace_idx": np.arange(at, at + len(part["ffid"])), **part})
+    """One row per trace; headers_only leaves the samples null and unread."""
+    from tracewell.sources import segy_ranges
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{sgy,segy}").load(path)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    found = segy_ranges.scan(segy_ranges.listing(spark, path), big=big, headers_only=headers_only)
+    return found.withColumn("samples", F.lit(None).cast("array<float>")) if headers_only else found
 
 
 def file_bytes(like: bytes, samples: np.ndarray, index: np.ndarray | None = None, dt_us: int | None = None, notes: list[str] | None = None, big: bool = True) -> bytes:
@@ -84,7 +90,7 @@ def file_bytes(like: bytes, samples: np.ndarray, index: np.ndarray | None = None
     out[:, :TRACE] = rows[index, :TRACE]
     for at, value in ((114, samples.shape[1]), (116, step)):
         out[:, at : at + 2] = np.frombuffer(np.array([value], e + "u2").tobytes(), np.uint8)
-    out[:, TRACE:] = np.ascontiguousarray(samples, e + "f4").view(np.uint8).reshape(len(index), -1)
+    out[:, TRACE:] = np.ascontiguousarray(samples, e + "f4").view(np.uint8).reshape(len(index), 4 * samples.shape[1])
     return bytes(head) + out.tobytes()
 
 
