@@ -105,6 +105,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     order = materialize(neighbours(rows), "neighbours")
     # copies of a row are one from here on: combined before the shuffle, however many they are
     texts = rows.groupBy(*KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    texts = texts.where("copies > 0")  # all three uses below so need the same columns and share one shuffle
     placed = texts.join(order, KEY)
     sent = with_anchors(placed, "text", "next_anchors").select(*[F.col(f"n_prev.{k}").alias(k) for k in KEY], quarter(F.col("text"), F.col("n_prev.n")).alias("begin"), "next_anchors")
     last = with_anchors(texts, "text", "anchors").join(sent, KEY)
