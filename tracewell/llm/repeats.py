@@ -94,10 +94,14 @@ def periodic(b: np.ndarray) -> np.ndarray:
     """Whether each window of a text equals the one q places earlier, for a q up to FAR."""
     edge = np.zeros(max(len(b) - LENGTH, -1) + 2, np.int64)
     step, least = LENGTH // 4, 4  # a stretch of LENGTH bytes holds so many of every step-th place
-    for q in range(1, min(FAR, len(b) - LENGTH) + 1):
-        hit = b[:-q:step] == b[q::step]
-        if not np.logical_and.reduce([hit[k : len(hit) - least + 1 + k] for k in range(least)]).any():
-            continue
+    ahead = np.concatenate([b.astype(np.int16), np.full(FAR, -1, np.int16)])
+    ahead = np.lib.stride_tricks.sliding_window_view(ahead, FAR + 1)[::step]
+    likely = np.zeros(FAR, bool)
+    for at in range(0, len(ahead) - least + 1, BLOCK // 4):
+        hit = ahead[at : at + BLOCK // 4 + least - 1]
+        hit = hit[:, 1:] == hit[:, :1]
+        likely |= np.logical_and.reduce([hit[k : len(hit) - least + 1 + k] for k in range(least)]).any(axis=0)
+    for q in (np.flatnonzero(likely) + 1).tolist():
         same = np.concatenate([[False], b[:-q] == b[q:], [False]])
         start, end = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2).T
         long = end - start >= LENGTH
