@@ -43,13 +43,21 @@ def draw_counts(draws: DataFrame, keys: list[str], order: list[Column], reason:
 
 
 def background_starts(intervals: DataFrame, keys: list[str], draws: DataFrame) -> DataFrame:
-    """keys, draw, start: uniform numbers (keys, draw, u) laid over the total length of each key's intervals (a, z)."""
+    """keys, draw, start: uniform numbers (keys, draw, u) laid over the total length of each key's intervals (a, z).
+
+    Intervals and draws of a key are sorted together by their place on the summed
+    length, so a draw finds its interval without meeting the others.
+    """
     w = Window.partitionBy(*keys).orderBy("a")
-    spans = intervals.where("z > a").withColumn("_to", F.sum(F.expr("z - a")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.select(*keys, "a", (F.col("_to") - F.expr("z - a")).alias("_from"), "_to", F.sum(F.expr("z - a")).over(Window.partitionBy(*keys)).alias("_all"))
-    at = F.col("u") * F.col("_all")
-    found = draws.join(spans, keys).where((at >= F.col("_from")) & (at < F.col("_to")))
-    return found.select(*keys, "draw", (F.col("a") + at - F.col("_from")).alias("start"))
+    spans = intervals.where("z > a").select(*keys, "a", F.expr("z - a").alias("_len"))
+    spans = spans.withColumn("_at", F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_len"))
+    whole = spans.groupBy(*keys).agg(F.sum("_len").alias("_all"))
+    laid = draws.join(whole, keys).select(*keys, (F.col("u") * F.col("_all")).alias("_at"), F.struct(F.col("draw").alias("draw")).alias("_d"))
+    both = spans.select(*keys, "_at", F.struct("a", F.col("_at").alias("at")).alias("_s")).unionByName(laid, allowMissingColumns=True)
+    # at one place the interval that starts there comes before the draws
+    sweep = Window.partitionBy(*keys).orderBy("_at", F.col("_d").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_s", F.last("_s", ignorenulls=True).over(sweep)).where("_d is not null")
+    return found.select(*keys, "_d.draw", (F.col("_s.a") + F.col("_at") - F.col("_s.at")).alias("start"))
 
 
 def noise_windows(windows: DataFrame, decisions: DataFrame, keys: list[str], width: int) -> DataFrame:

@@ -52,8 +52,8 @@ def nearest_fill(rows: DataFrame, keys: list[str], order: str, value: str, out:
 
 
 def signed_offset(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows before the one of least offset get a negative sign."""
-    at = F.min(F.struct("offset_m", "rank")).over(Window.partitionBy(*keys))
+    """Rows before the one of least offset get a negative sign; missing offsets stay missing."""
+    at = F.min(F.when(F.col("offset_m").isNotNull(), F.struct("offset_m", "rank"))).over(Window.partitionBy(*keys))
     return ranked.withColumn("signed_offset", F.when(F.col("rank") < at["rank"], -F.col("offset_m")).otherwise(F.col("offset_m")))
 
 

@@ -22,20 +22,24 @@ def csr_faults(indptr: Column, data: Column, n_traces: Column | None = None) ->
 
 
 def csr_to_picks(rows: DataFrame, keys: list[str], indptr: str, data: str, phase: str) -> DataFrame:
-    """keys, trace_idx, phase, pick: one row a pick of lists (keys, indptr, data)."""
-    ends = rows.select(*keys, data, F.posexplode(F.slice(indptr, F.lit(2), F.size(indptr))).alias("trace_idx", "_z"), F.col(indptr).alias("_p"))
-    part = F.slice(F.col(data), F.get("_p", "trace_idx") + 1, F.col("_z") - F.get("_p", "trace_idx"))
-    return ends.select(*keys, F.col("trace_idx").cast("long").alias("trace_idx"), F.lit(phase).alias("phase"), F.explode(part).alias("pick"))
+    """keys, trace_idx, phase, pick: one row a pick of lists (keys, indptr, data).
+
+    Bounds are clipped, as Spark may cut lists before a filter by csr_faults.
+    """
+    cut = lambda z, k: F.slice(F.col(data), F.greatest(F.get(F.col(indptr), k) + 1, F.lit(1)).cast("int"), F.greatest(z - F.get(F.col(indptr), k), F.lit(0)).cast("int"))
+    lists = rows.select(*keys, F.transform(F.slice(indptr, F.lit(2), F.size(indptr)), cut).alias("_p"))
+    each = lists.select(*keys, F.posexplode("_p").alias("trace_idx", "_p"))
+    return each.select(*keys, F.col("trace_idx").cast("long").alias("trace_idx"), F.lit(phase).alias("phase"), F.explode("_p").alias("pick"))
 
 
 def picks_to_csr(traces: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, indptr, data of long picks (keys, trace_idx, pick); traces without a pick have an empty row."""
     each = traces.select(*keys, "trace_idx").join(picks.groupBy(*keys, "trace_idx").agg(F.sort_array(F.collect_list("pick")).alias("p")), [*keys, "trace_idx"], "left")
     each = each.withColumn("p", F.coalesce("p", F.expr("cast(array() as array<bigint>)")))
-    whole = each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("trace_idx", "p"))), lambda x: x["p"]).alias("p"))
-    # a running sum over the traces of one file
-    steps = F.aggregate("p", F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.size(x))))
-    return whole.select(*keys, steps.alias("indptr"), F.flatten("p").alias("data"))
+    each = each.withColumn("z", F.sum(F.size("p")).over(Window.partitionBy(*keys).orderBy("trace_idx")))
+    whole = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("trace_idx", "z", "p"))).alias("t"))
+    indptr = F.concat(F.array(F.lit(0).cast("long")), F.transform("t", lambda x: x["z"]))
+    return whole.select(*keys, indptr.alias("indptr"), F.flatten(F.transform("t", lambda x: x["p"])).alias("data"))
 
 
 def with_picks(rows: DataFrame, picks: DataFrame, keys: list[str], phases: tuple[str, ...] = ("P", "S")) -> DataFrame:

@@ -104,7 +104,10 @@ def piecewise(x: Column, coef: Column) -> Column:
 
 
 def global_trend(rows: DataFrame, keys: list[str], x: str, side: str, y: Column, w: Column, v_min: float, v_max: float, eps: float, side_least: int, bins: int = 10) -> DataFrame:
-    """rows with trend: the side's two-piece line where a side (sign of the column side) has side_least rows, else that of all rows."""
+    """rows with trend and own: the side's two-piece line (own) where a side (sign of the column side) has side_least rows, else that of all rows.
+
+    Without a weighted row among keys trend is null.
+    """
     good = rows.where(w > 0)
     fit = lambda r, k: projected_slopes(two_piece(r, k, F.col(x), y, w, bins), v_min, v_max, eps).select(*k, F.struct("xb", "a1", "b1", "a2", "b2").alias("coef"))
     whole = fit(good, keys).withColumnRenamed("coef", "_all")
@@ -112,4 +115,4 @@ def global_trend(rows: DataFrame, keys: list[str], x: str, side: str, y: Column,
     many = sided.groupBy(*keys, "_sign").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= side_least).drop("_n")
     own = fit(sided.join(many, [*keys, "_sign"]), [*keys, "_sign"]).withColumnRenamed("coef", "_own")
     out = rows.withColumn("_sign", F.signum(side).cast("int")).join(whole, keys, "left").join(own, [*keys, "_sign"], "left")
-    return out.withColumn("trend", piecewise(F.col(x), F.coalesce("_own", "_all"))).drop("_own", "_all", "_sign")
+    return out.withColumn("trend", piecewise(F.col(x), F.coalesce("_own", "_all"))).withColumn("own", F.col("_own").isNotNull()).drop("_own", "_all", "_sign")

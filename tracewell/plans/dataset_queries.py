@@ -253,13 +253,21 @@ def _line(k: int) -> str:
 
 
 SUMS = {"n": "1.0", "sx": "x", "sy": "y", "sxx": "x * x", "sxy": "x * y", "syy": "y * y"}
-PIECES = f"""{HDR}, r as (select file_id, offset_m as x, fb * 0.004::double as y from hdr where fb > 0 and offset_m > 0), sp as (select file_id, min(x) as lo, max(x) as hi from r group by 1),
-bk as (select file_id, lo, hi, j, lo + (hi - lo) * (j + 1) / 10.0::double as xb from sp, (select unnest(generate_series(0, 8)) as j)),
-rb as (select r.*, least(9, floor((x - lo) / greatest(hi - lo, 1e-9::double) * 10)) as bin from r join sp using (file_id)),
-su as (select bk.file_id, j, any_value(xb) as xb, any_value((lo + hi) / 2) as mid, {", ".join(f"sum(case when bin <= j then {e} else 0 end)::double as {c}1, sum(case when bin > j then {e} else 0 end)::double as {c}2, sum({e})::double as {c}0" for c, e in SUMS.items())} from bk join rb using (file_id) group by 1, 2),
-ln as (select *, {_line(1)}, {_line(2)}, {_line(0)} from su),
-er as (select *, n1 < 3 or n2 < 3 as bad, syy1 - b1 * sy1 - a1 * sxy1 + syy2 - b2 * sy2 - a2 * sxy2 as sse from ln),
-tp as (select file_id, case when bad then mid else xb end as xb, case when bad then a0 else a1 end as a1, case when bad then b0 else b1 end as b1, case when bad then a0 else a2 end as a2, case when bad then b0 else b2 end as b2, bad as single from er qualify row_number() over (partition by file_id order by bad, case when bad then 0 else sse end, j) = 1)"""
+
+
+def _pieces(source: str, key: str, tag: str = "") -> str:
+    """The two-piece fit of source (key, x, y), from the table r on; tag sets a second fit apart."""
+    k = f"using ({key})"
+    return f"""r{tag} as ({source}), sp{tag} as (select {key}, min(x) as lo, max(x) as hi from r{tag} group by {key}),
+bk{tag} as (select {key}, lo, hi, j, lo + (hi - lo) * (j + 1) / 10.0::double as xb from sp{tag}, (select unnest(generate_series(0, 8)) as j)),
+rb{tag} as (select r{tag}.*, least(9, floor((x - lo) / greatest(hi - lo, 1e-9::double) * 10)) as bin from r{tag} join sp{tag} {k}),
+su{tag} as (select {key}, j, any_value(xb) as xb, any_value((lo + hi) / 2) as mid, {", ".join(f"sum(case when bin <= j then {e} else 0 end)::double as {c}1, sum(case when bin > j then {e} else 0 end)::double as {c}2, sum({e})::double as {c}0" for c, e in SUMS.items())} from bk{tag} join rb{tag} {k} group by {key}, j),
+ln{tag} as (select *, {_line(1)}, {_line(2)}, {_line(0)} from su{tag}),
+er{tag} as (select *, n1 < 3 or n2 < 3 as bad, syy1 - b1 * sy1 - a1 * sxy1 + syy2 - b2 * sy2 - a2 * sxy2 as sse from ln{tag}),
+tp{tag} as (select {key}, case when bad then mid else xb end as xb, case when bad then a0 else a1 end as a1, case when bad then b0 else b1 end as b1, case when bad then a0 else a2 end as a2, case when bad then b0 else b2 end as b2, bad as single from er{tag} qualify row_number() over (partition by {key} order by bad, case when bad then 0 else sse end, j) = 1)"""
+
+
+PIECES = f"{HDR}, {_pieces('select file_id, offset_m as x, fb * 0.004::double as y from hdr where fb > 0 and offset_m > 0', 'file_id')}"
 
 
 @query(f"with {PIECES} select file_id, round(xb, 4) as xb, round(a1, 6) as a1, round(b1, 4) as b1, round(a2, 6) as a2, round(b2, 4) as b2, single from tp")
@@ -270,8 +278,20 @@ def two_piece_trend(spark, sf_dir):
 
 
 LO, HI, EPS = "(1.0::double / 8000)", "(1.0::double / 300)", "1e-5::double"
-PROJECTED = f"""{PIECES}, cl as (select file_id, xb, b1, least(greatest(a1, {LO}), {HI}) as a1, least(greatest(a2, {LO}), {HI}) as a2 from tp),
-pj as (select *, case when a1 > a2 + {EPS} or least(a2, a1 - {EPS}) >= {LO} then a1 when greatest(a1, a2 + {EPS}) <= {HI} then greatest(a1, a2 + {EPS}) else {HI} end as p1, case when a1 > a2 + {EPS} then a2 when least(a2, a1 - {EPS}) >= {LO} then least(a2, a1 - {EPS}) when greatest(a1, a2 + {EPS}) <= {HI} then a2 else {LO} end as p2 from cl)"""
+
+
+def _projected(key: str, tag: str = "") -> str:
+    return f"""cl{tag} as (select {key}, xb, b1, least(greatest(a1, {LO}), {HI}) as a1, least(greatest(a2, {LO}), {HI}) as a2 from tp{tag}),
+pj{tag} as (select *, case when a1 > a2 + {EPS} or least(a2, a1 - {EPS}) >= {LO} then a1 when greatest(a1, a2 + {EPS}) <= {HI} then greatest(a1, a2 + {EPS}) else {HI} end as p1, case when a1 > a2 + {EPS} then a2 when least(a2, a1 - {EPS}) >= {LO} then least(a2, a1 - {EPS}) when greatest(a1, a2 + {EPS}) <= {HI} then a2 else {LO} end as p2 from cl{tag})"""
+
+
+PROJECTED = f"{PIECES}, {_projected('file_id')}"
+AT = "case when offset_m <= {t}.xb then {t}.p1 * offset_m + {t}.b1 else {t}.p2 * offset_m + ({t}.p1 * {t}.xb + {t}.b1 - {t}.p2 * {t}.xb) end"
+SIDED = f"""{RANKED}, lo as (select file_id, ffid, arg_min(rank, (offset_m, rank)) as r from ranked group by 1, 2),
+sg as (select file_id, trace_idx, offset_m, fb, case when offset_m = 0 then 0 when rank < r then -1 else 1 end as side from ranked join lo using (file_id, ffid)),
+{_pieces("select file_id, offset_m as x, fb * 0.004::double as y from sg where fb > 0 and offset_m > 0", "file_id")}, {_projected("file_id")},
+big as (select file_id, side from sg where fb > 0 and side <> 0 group by 1, 2 having count(*) >= 240),
+{_pieces("select file_id, side, offset_m as x, fb * 0.004::double as y from sg join big using (file_id, side) where fb > 0 and offset_m > 0", "file_id, side", "s")}, {_projected("file_id, side", "s")}"""
 
 
 @query(f"with {PROJECTED} select h.file_id, h.trace_idx, round(case when offset_m <= xb then p1 * offset_m + b1 else p2 * offset_m + (p1 * xb + b1 - p2 * xb) end, 5) as trend from hdr h join pj using (file_id)")
@@ -282,9 +302,10 @@ def projected_trend(spark, sf_dir):
     return out.select("file_id", "trace_idx", F.round(T.piecewise(F.col("offset_m"), F.col("c")), 5).alias("trend"))
 
 
-@query(f"with {PROJECTED} select h.file_id, count(*) as n, round(avg(case when offset_m <= xb then p1 * offset_m + b1 else p2 * offset_m + (p1 * xb + b1 - p2 * xb) end), 5) as trend from hdr h join pj using (file_id) group by 1")
+@query(f"""with {SIDED} select sg.file_id, sg.side, pjs.xb is not null as own, count(*) as n, round(avg(case when pjs.xb is not null then {AT.format(t="pjs")} else {AT.format(t="pj")} end), 5) as trend
+from sg join pj on pj.file_id = sg.file_id left join pjs on pjs.file_id = sg.file_id and pjs.side = sg.side group by 1, 2, 3""")
 def global_trend(spark, sf_dir):
-    """No side here has 10^9 rows, so every file falls back to the fit of all its rows; tests hold the sides."""
+    """Sides of 240 picks and more have a fit of their own, the others that of all rows of the file."""
     rows = A.signed_offset(_ranked(spark, sf_dir), GATHER).withColumn("w", F.when(F.col("fb") > 0, 1.0).otherwise(0.0))
-    out = T.global_trend(rows, ["file_id"], "offset_m", "signed_offset", F.col("fb") * 0.004, F.col("w"), 300.0, 8000.0, 1e-5, 10**9)
-    return out.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("trend"), 5).alias("trend"))
+    out = T.global_trend(rows, ["file_id"], "offset_m", "signed_offset", F.col("fb") * 0.004, F.col("w"), 300.0, 8000.0, 1e-5, 240)
+    return out.groupBy("file_id", F.signum("signed_offset").cast("int").alias("side"), F.col("own").alias("own")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("trend"), 5).alias("trend"))

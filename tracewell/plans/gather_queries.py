@@ -22,7 +22,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.ordered(trace_hdr(spark, sf_dir), GATHER, "chno", "ffid")
 
 
-RANKED = f"{HDR}, ranked as (select *, row_number() over (partition by file_id, ffid order by chno, ffid, trace_idx) - 1 as rank, count(*) over (partition by file_id, ffid) as n from hdr)"
+RANKED = f"{HDR}, ranked as materialized (select *, row_number() over (partition by file_id, ffid order by chno, ffid, trace_idx) - 1 as rank, count(*) over (partition by file_id, ffid) as n from hdr)"
 STARTS = "starts as (select distinct file_id, ffid, s as start from (select distinct file_id, ffid, n from ranked), lateral (select unnest(list_concat(generate_series(0, greatest(n - 16, 0), 8), [greatest(n - 16, 0)])) as s))"
 WINDOWS = f"{RANKED}, {STARTS}, win as (select r.*, start, rank - start as row from ranked r join starts using (file_id, ffid) where rank between start and start + 15)"
 

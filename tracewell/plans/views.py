@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 
-HDR = f"""hdr as (select l_suppkey as file_id, l_orderkey % 16 as ffid, l_partkey % 200 as chno, l_partkey % 50 as cmp, l_extendedprice / 10 as offset_m,
+HDR = f"""hdr as materialized (select l_suppkey as file_id, l_orderkey % 16 as ffid, l_partkey % 200 as chno, l_partkey % 50 as cmp, l_extendedprice / 10 as offset_m,
  case when l_discount < 0.02 then 0 else cast(floor(l_quantity * 10) as bigint) end as fb, l_linenumber as line,
  row_number() over (partition by l_suppkey order by {", ".join(ORDER)}) - 1 as trace_idx from lineitem)"""
 WAVE = "wave as (select vec_id as trace_idx, cast(label as bigint) as ffid, (vec_id * 37) % 1000 as offset_m, cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) - 1 as t from embeddings)"
