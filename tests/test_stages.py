@@ -1,6 +1,7 @@
 """Staged jobs: planted arrivals come back, and the parts agree with each other."""
 
 import numpy as np
+import pytest
 
 from tracewell.plans import registry, stages
 
@@ -45,3 +46,27 @@ def test_queries_agree(spark):
             assert four[i].pick_raw == one[i].pick
         else:
             assert four[i].pick_raw == 0
+
+
+def test_goes_on_where_it_failed(spark, tmp_path, monkeypatch):
+    knobs = stages.Knobs(dt=0.002, confidence_half=5, half_win=32, trough_th=0.9)
+    folder = f"file://{tmp_path}"
+    real = stages.stage4
+
+    def fails(*a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(stages, "stage4", fails)
+    with pytest.raises(RuntimeError):
+        stages.run(spark, planted(spark), ["g"], folder, 0, knobs)
+    monkeypatch.setattr(stages, "stage4", real)
+    monkeypatch.setattr(stages, "stage1", fails)
+    skipped = stages.run(spark, planted(spark), ["g"], folder, 0, knobs)
+    assert set(skipped) == {"stage1", "stage2", "stage4"}
+    again = stages.run(spark, planted(spark), ["g"], folder, 1, knobs, ("stage1", "stage2"))
+    assert set(again) == {"stage1", "stage2"}
+    two = spark.read.parquet(f"{folder}/stage2/iter_id=1").collect()
+    # a reseeded run has no local trend: all comes from the file's
+    assert {r.source for r in two} == {"global"} and sum(r.keep for r in two) >= 10
+    listed = spark.createDataFrame([(1,), (9,)], "g int")
+    assert [r.g for r in stages.missing_inputs(listed, planted(spark), ["g"]).collect()] == [9]

@@ -28,7 +28,8 @@ def csr_to_picks(rows: DataFrame, keys: list[str], indptr: str, data: str, phase
     """
     cut = lambda z, k: F.slice(F.col(data), F.greatest(F.get(F.col(indptr), k) + 1, F.lit(1)).cast("int"), F.greatest(z - F.get(F.col(indptr), k), F.lit(0)).cast("int"))
     lists = rows.select(*keys, F.transform(F.slice(indptr, F.lit(2), F.size(indptr)), cut).alias("_p"))
-    each = lists.select(*keys, F.posexplode("_p").alias("trace_idx", "_p"))
+    # the outer form: for the inner one Spark filters by the size of the list first, with every column inlined
+    each = lists.select(*keys, F.posexplode_outer("_p").alias("trace_idx", "_p"))
     return each.select(*keys, F.col("trace_idx").cast("long").alias("trace_idx"), F.lit(phase).alias("phase"), F.explode("_p").alias("pick"))
 
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import signal as S
-from tracewell.operators import gates, labels, picks, statics
+from tracewell.operators import assembly, gates, gathers, labels, picks, statics
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,22 @@ class Knobs:
     support: int = 2
     most_dev: int = 2
     pin_tol: int = 2
+    v_min: float = 300.0
+    v_max: float = 6000.0
+    slope_eps: float = 1e-6
+    side_least: int = 16
+    diff_th: float = 128.0
+    inv_drop: float = 10.0
+    inv_steps: int = 2
+    discard_radius: int = 32
+    sigma_ms: float = 6.0
+    var_half: int = 8
+    var_sigma_ms: float = 6.0
+    var_least: int = 3
+
+    def assembly(self, n_samples: int) -> assembly.AssemblyKnobs:
+        names = ("dt", "v_min", "v_max", "slope_eps", "side_least", "diff_th", "inv_drop", "inv_steps", "discard_radius", "sigma_ms", "var_half", "var_sigma_ms", "var_least")
+        return assembly.AssemblyKnobs(n_samples=n_samples, **{n: getattr(self, n) for n in names})
 
 
 def _clean(pick: Column, offset: Column, samples: Column) -> Column:
@@ -65,15 +82,36 @@ def stage1(traces: DataFrame, keys: list[str], k: Knobs) -> DataFrame:
     return out.withColumn("conf_trend", F.when(F.col("pick") > 0, F.coalesce(near, F.lit(0.0))).otherwise(0.0)).drop("rank", "n", "trend_t", "trend_s", "covered")
 
 
-def stage2(stage: DataFrame, keys: list[str], k: Knobs) -> DataFrame:
-    """Windows about the trend, and which traces to keep.
+def with_assembled_trend(stage: DataFrame, keys: list[str], files: list[str], n_samples: int, k: Knobs) -> DataFrame:
+    """stage with trend_i and conf_trend of the trend put together from stage 1's (kept as trend_local_i) and the file's.
 
-    Thresholds are the low_share percentiles of the scores over all traces with
-    a good pick near a good trend. Adds reason (bits), keep, start, window and
-    window_pick (null unless kept).
+    The file's trend is fitted to picks weighted by conf_prob, times conf_rs where
+    the table has it. Adds trend_local_i, trend_file_i, trend_global_i,
+    global_filled, discarded, source.
     """
-    scores = ["conf_prob", "conf_trend"]
-    rows = stage.withColumn("_base", gates.base_valid_bits(F.col("pick"), F.col("trend_i"), 1 << 30, k.half_win))
+    by_trace = Window.partitionBy(*keys).orderBy("trace_idx")
+    rows = stage.drop("conf_trend").withColumn("rank", (F.row_number().over(by_trace) - 1).cast("long"))
+    rows = gathers.signed_offset(rows, keys).withColumn("signed", F.col("signed_offset").cast("double")).drop("rank", "signed_offset")
+    weight = F.greatest(F.coalesce("conf_prob", F.lit(0.0)), F.lit(0.0))
+    if "conf_rs" in stage.columns:
+        weight = weight * F.greatest(F.coalesce("conf_rs", F.lit(0.0)), F.lit(0.0))
+    knobs = k.assembly(n_samples)
+    rows = assembly.with_global_trend(rows.withColumnRenamed("trend_i", "trend_local_i"), files, "pick", weight, knobs)
+    rows = assembly.assembled(rows, keys, "trend_local_i", "trend_file_i", knobs).drop("signed")
+    return assembly.trend_confidence(rows, files, "pick", "trend_i", knobs)
+
+
+def stage2(stage: DataFrame, keys: list[str], k: Knobs, files: list[str] | None = None, n_samples: int = 1 << 30) -> DataFrame:
+    """Windows about the assembled trend, and which traces to keep.
+
+    files name the keys of a file (a gather is one unless they are given). Thresholds
+    are the low_share percentiles of the scores over all traces with a good pick near
+    a good trend. Adds what with_assembled_trend does, reason (bits), keep, start,
+    window and window_pick (null unless kept).
+    """
+    scores = ["conf_prob", "conf_trend", *(["conf_rs"] if "conf_rs" in stage.columns else [])]
+    rows = with_assembled_trend(stage, keys, files or keys, n_samples, k)
+    rows = rows.withColumn("_base", gates.base_valid_bits(F.col("pick"), F.col("trend_i"), n_samples, k.half_win))
     limits = rows.where("_base = 0").agg(*[F.percentile(c, k.low_share).alias(f"_{c}") for c in scores])
     # limits is one row, whatever the input
     rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(limits.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
@@ -85,9 +123,13 @@ def stage2(stage: DataFrame, keys: list[str], k: Knobs) -> DataFrame:
     return out.drop("_base", *[f"_{c}" for c in scores])
 
 
+MADE = ("trend_i", "trend_local_i", "trend_file_i", "trend_global_i", "global_filled", "discarded", "source", "reason", "keep", "start", "window", "window_pick", "pick", "conf_prob", "conf_trend", "conf_rs", "pick_raw", "reason_trough", "pick_final")
+
+
 def reseeded(stage4_rows: DataFrame) -> DataFrame:
-    """Final picks as the seed of another stage 2: pmax and cmax in place of the confidences, no trend of their own."""
-    return stage4_rows.select(*[c for c in stage4_rows.columns if c not in ("pick", "conf_prob", "conf_trend")], F.col("pick_final").alias("pick"), F.col("pmax").alias("conf_prob"), F.col("cmax").alias("conf_trend"), F.lit("stage4").alias("seed_kind"))
+    """Final picks as the seed of another stage 2: pmax in place of conf_prob, cmax (if the table has it) of conf_rs, and no local trend."""
+    rows = stage4_rows.select(*[c for c in stage4_rows.columns if c not in MADE], F.col("pick_final").alias("pick"), F.col("pmax").alias("conf_prob"), F.lit(None).cast("double").alias("trend_i"), F.lit("stage4").alias("seed_kind"))
+    return rows.withColumn("conf_rs", F.col("cmax")) if "cmax" in rows.columns else rows
 
 
 def stage4(stage: DataFrame, keys: list[str], order: str, k: Knobs) -> DataFrame:
@@ -104,12 +146,41 @@ def stage4(stage: DataFrame, keys: list[str], order: str, k: Knobs) -> DataFrame
     return rows.withColumn("pick_final", picks.snap(F.col("samples"), inside, "trough", k.snap_reach)).drop("p_in", "p_post", "p_out", "shifted", "peak_i", "trough_i")
 
 
-def run(spark: SparkSession, traces: DataFrame, keys: list[str], folder: str, iter_id: int, k: Knobs) -> dict[str, int]:
-    """Writes stage1, stage2 and stage4 tables; gives the traces each left without a pick."""
+STAGES = {"stage1": "pick", "stage2": "window_pick", "stage4": "pick_final"}
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: its mark is there."""
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def run(spark: SparkSession, traces: DataFrame, keys: list[str], folder: str, iter_id: int, k: Knobs, stages: tuple[str, ...] = tuple(STAGES), files: list[str] | None = None, n_samples: int = 1 << 30) -> dict[str, int]:
+    """Writes the named stages' tables; gives the traces each left without a pick.
+
+    A table of this iter_id that was written to its end is taken as it is, so a
+    failed run goes on at the stage that failed. From iter_id 1 on stage1 is the
+    reseeded stage4 of the iteration before. Stages not named must be there if a
+    later one is.
+    """
     skipped, rows = {}, traces
-    for name, stage, pick in (("stage1", lambda r: stage1(r, keys, k), "pick"), ("stage2", lambda r: stage2(r, keys, k), "window_pick"), ("stage4", lambda r: stage4(r, keys, "trace_idx", k), "pick_final")):
+    work = {"stage1": lambda r: stage1(r, keys, k) if iter_id == 0 else reseeded(spark.read.parquet(f"{folder}/stage4/iter_id={iter_id - 1}")), "stage2": lambda r: stage2(r, keys, k, files, n_samples), "stage4": lambda r: stage4(r, keys, "trace_idx", k)}
+    last = max((i for i, name in enumerate(STAGES) if name in stages), default=-1)
+    for name in list(STAGES)[: last + 1]:
         path = f"{folder}/{name}/iter_id={iter_id}"
-        stage(rows).write.mode("overwrite").parquet(path)
+        if name in stages and not _finished(spark, path):
+            work[name](rows).write.mode("overwrite").parquet(path)
         rows = spark.read.parquet(path)
-        skipped[name] = rows.where(F.col(pick).isNull() | (F.col(pick) == 0)).count()
+        if name in stages:
+            skipped[name] = rows.where(F.col(STAGES[name]).isNull() | (F.col(STAGES[name]) == 0)).count()
     return skipped
+
+
+def missing_inputs(listed: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:
+    """Listed gathers of which traces hold none: what a run never saw."""
+    return listed.select(*keys).distinct().join(traces.select(*keys).distinct(), keys, "left_anti")
