@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.signal import let, total
+from tracewell.operators import views
 
 
 def _nearest(candidates: Column, at: Column) -> Column:
@@ -130,22 +131,9 @@ def projected(rows: DataFrame, keys: list[str], flip: bool, factor_h: float, fac
     shows the nearest source row's pick, -1 outside 1..width-1, and the offset
     interpolated between the two source rows around it.
     """
-    centre = (F.col("n") - 1) * 0.5
-    at = centre + (F.col("rank") - centre) / factor_h
-    end = F.col("n") - 1
-    turn = (lambda j: end - j) if flip else (lambda j: j)
-    clip = lambda j: F.least(F.greatest(j, F.lit(0)), end).cast("long")
-    view = rows.select(*keys, F.col("rank").alias("row"), turn(clip(F.floor(at + 0.5))).alias("_a"), turn(clip(F.floor(at))).alias("_b"), turn(clip(F.floor(clip_real(at, end)) + 1)).alias("_c"), (clip_real(at, end) - F.floor(clip_real(at, end))).alias("_w"))
-    wanted = view.select(*keys, "row", "_w", F.explode(F.array(F.struct(F.lit("a").alias("k"), F.col("_a").alias("rank")), F.struct(F.lit("b").alias("k"), F.col("_b").alias("rank")), F.struct(F.lit("c").alias("k"), F.col("_c").alias("rank")))).alias("s")).select(*keys, "row", "_w", "s.k", "s.rank")
-    met = wanted.join(rows.select(*keys, "rank", "fb", "offset_m"), [*keys, "rank"])
-    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    out = met.groupBy(*keys, "row", "_w").agg(of("a", "fb").alias("_fb"), of("b", "offset_m").alias("_lo"), of("c", "offset_m").alias("_hi"))
-    fb = F.rint(F.col("_fb") * factor).cast("long") - start
-    return out.select(*keys, "row", F.when((fb <= 0) | (fb >= width), F.lit(-1)).otherwise(fb).cast("long").alias("fb_view"), ((1 - F.col("_w")) * F.col("_lo") + F.col("_w") * F.col("_hi")).alias("offset_view"))
-
-
-def clip_real(x: Column, end: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), end.cast("double"))
+    view = F.struct(F.lit(flip).alias("hflip"), F.lit(float(factor_h)).alias("factor_h"), F.lit(float(factor)).alias("factor"), F.lit(start).alias("start"))
+    views_of = rows.select(*keys, "rank", "n", view.alias("view"), F.lit(0).cast("long").alias("tshift"))
+    return views.projected(rows, views_of, keys, width)
 
 
 def weighted_median(values: Column) -> Column:
