@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.gathers import uniform
+
 KEYS = ("ffid", "chno", "cmp")
 OVERRIDE = "struct<primary_keys: array<string>, primary_ranges: map<string, array<array<bigint>>>, secondary_key_fixed: boolean>"
 
@@ -42,6 +44,44 @@ def draw_counts(draws: DataFrame, keys: list[str], order: list[Column], reason:
     return tried.withColumn("_had", had).where(F.col("_had") < wanted).groupBy(*keys, F.col("_r").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def subset_draws(traces: DataFrame, draws: DataFrame, files: list[str], draw: str, weights: dict[str, float], height: int, seed: str, fixed: bool = False) -> DataFrame:
+    """files, draw, key_name, key, secondary, row, trace_idx, pad: height neighbouring traces of a gather for every draw of a file.
+
+    traces hold ffid, chno, cmp, offset_m, trace_idx. The kind of gather comes by
+    weights (those without weight never; all weigh 1 where none has any), the gather
+    evenly among the file's, the order (secondary) evenly among the other index and
+    the offset, or with fixed the other index (offset for cmp), the first row evenly.
+    Gathers of fewer traces are taken whole, pad counts what is missing. All numbers
+    are hashes of seed, file and draw. A draw meets the traces of its gather only.
+    """
+    held = {k: w for k, w in weights.items() if w > 0} or dict.fromkeys(weights, 1.0)
+    u = lambda step: uniform(F.lit(f"{seed}{step}"), *[F.col(c) for c in files], F.col(draw))
+    place, reach, name = u("k") * sum(held.values()), 0.0, F.lit(list(held)[-1])
+    bounds = []
+    for k, w in held.items():
+        reach += w
+        bounds.append((k, reach))
+    for k, b in reversed(bounds[:-1]):
+        name = F.when(place < b, k).otherwise(name)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key_name"), F.col(k).cast("long").alias("key")) for k in held]))
+    rows = traces.select(*files, "trace_idx", "ffid", "chno", "offset_m", each.alias("_e")).select("*", "_e.*").drop("_e").where("key is not null")
+    kinds = rows.select(*files, "key_name", "key").distinct()
+    kind = Window.partitionBy(*files, "key_name")
+    kinds = kinds.withColumn("_k", F.row_number().over(kind.orderBy("key")) - 1).withColumn("_n", F.count(F.lit(1)).over(kind))
+    counts = kinds.select(*files, "key_name", "_n").distinct()
+    drawn = draws.withColumn("key_name", name).join(counts, [*files, "key_name"]).withColumn("_k", F.floor(u("g") * F.col("_n")).cast("int"))
+    drawn = drawn.join(kinds.drop("_n"), [*files, "key_name", "_k"]).drop("_k", "_n")
+    other = F.when(F.col("key_name") == "ffid", "chno").when(F.col("key_name") == "chno", "ffid").otherwise("offset")
+    drawn = drawn.withColumn("secondary", other if fixed else F.when(u("s") < 0.5, other).otherwise("offset")).withColumn("_u", u("r"))
+    met = drawn.join(rows, [*files, "key_name", "key"])
+    by = F.when(F.col("secondary") == "chno", F.col("chno").cast("double")).when(F.col("secondary") == "ffid", F.col("ffid").cast("double")).otherwise(F.col("offset_m").cast("double"))
+    one = Window.partitionBy(*files, draw)
+    met = met.withColumn("_r", F.row_number().over(one.orderBy(by, "trace_idx")) - 1).withColumn("_n", F.count(F.lit(1)).over(one))
+    first = F.floor(F.col("_u") * F.greatest(F.col("_n") - height + 1, F.lit(1)))
+    met = met.withColumn("row", (F.col("_r") - first).cast("long")).where((F.col("row") >= 0) & (F.col("row") < height))
+    return met.select(*files, draw, "key_name", "key", "secondary", "row", "trace_idx", F.greatest(height - F.col("_n"), F.lit(0)).cast("long").alias("pad"))
+
+
 def background_starts(intervals: DataFrame, keys: list[str], draws: DataFrame) -> DataFrame:
     """keys, draw, start: uniform numbers (keys, draw, u) laid over the total length of each key's intervals (a, z).
 

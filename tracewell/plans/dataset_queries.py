@@ -225,6 +225,21 @@ def draw_counts(spark, sf_dir):
     return D.draw_counts(gate_windows(spark, sf_dir), ["file_id"], _order(), F.col("reject_reason"), 5, 40)
 
 
+DRAWN = f"""{HDR}, d as (select file_id, i, {", ".join(f"('0x' || substr(md5('6{k}:' || file_id || ':' || i), 1, 8))::bigint / 4294967296.0::double as u{k}" for k in "kgsr")} from (select distinct file_id from hdr), (select unnest(generate_series(0, 5)) as i)),
+nm as (select *, case when uk * 4 < 2 then 'ffid' when uk * 4 < 3 then 'chno' else 'cmp' end as key_name from d),
+ks as (select *, row_number() over (partition by file_id, key_name order by key) - 1 as k, count(*) over (partition by file_id, key_name) as nk from (select distinct file_id, 'ffid' as key_name, ffid as key from hdr union select distinct file_id, 'chno', chno from hdr union select distinct file_id, 'cmp', cmp from hdr)),
+pk as (select nm.*, key, case when us >= 0.5 or nm.key_name = 'cmp' then 'offset' when nm.key_name = 'ffid' then 'chno' else 'ffid' end as secondary from nm join ks on ks.file_id = nm.file_id and ks.key_name = nm.key_name and k = floor(ug * nk)),
+mt as (select pk.*, trace_idx, row_number() over (partition by pk.file_id, i order by case secondary when 'chno' then chno when 'ffid' then ffid else offset_m::double end, trace_idx) - 1 as r, count(*) over (partition by pk.file_id, i) as n from pk join hdr on hdr.file_id = pk.file_id and case key_name when 'ffid' then ffid when 'chno' then chno else cmp end = key),
+st as (select *, r - case when n >= 8 then floor(ur * (n - 7)) else 0 end as row from mt)"""
+
+
+@query(f"with {DRAWN} select file_id, i, key_name, key, secondary, row::bigint as row, trace_idx, greatest(8 - n, 0) as pad from st where row between 0 and 7")
+def subset_draws(spark, sf_dir):
+    rows = trace_hdr(spark, sf_dir)
+    draws = rows.select("file_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    return D.subset_draws(rows, draws, ["file_id"], "i", {"ffid": 2.0, "chno": 1.0, "cmp": 1.0}, 8, "6")
+
+
 SPANS = f"{HDR}, iv as (select file_id, trace_idx * 100.0::double as a, trace_idx * 100.0::double + fb % 90 as z from hdr where fb > 0 and fb % 90 > 0), sp as (select *, sum(z - a) over (partition by file_id order by a) - (z - a) as f, sum(z - a) over (partition by file_id order by a) as e, sum(z - a) over (partition by file_id) as w from iv), dr as (select file_id, k, ('0x' || substr(md5('b:' || file_id || ':' || k), 1, 8))::bigint / 4294967296.0::double as u from (select distinct file_id from hdr), (select unnest(generate_series(1, 20)) as k))"
 
 
