@@ -33,14 +33,15 @@ def azimuth_bin_cuts(spark, sf_dir):
 
 
 @query(f"""with {HDR}, {SHOT}, held as (select distinct line, ffid, file_id from hdr), near as (
- select a.shot as key, b.shot as member, row_number() over (partition by a.shot order by a.shot <> b.shot, (a.sx - b.sx) ** 2 + (a.sy - b.sy) ** 2, b.shot) as k from shot a join shot b on a.shot % 3 > 0 and b.shot % 3 > 0 qualify k <= 5),
+ select a.shot as key, b.shot as member, row_number() over (partition by a.shot order by a.shot <> b.shot, (a.sx - b.sx) ** 2 + (a.sy - b.sy) ** 2, b.shot) as k from shot a join shot b on a.sx >= 2000 and b.sx >= 2000 qualify k <= 5),
 keys as (select line, file_id as key, dense_rank() over (partition by line order by file_id) as r from (select distinct line, file_id from hdr)),
 placed as (select k.line, k.key, n.member, 'centroid' as way from keys k join near n using (key) join keys h on h.line = k.line and h.key = n.member),
-plain as (select a.line, a.key, b.key as member, 'rank' as way from keys a join keys b on a.line = b.line and abs(a.r - b.r) <= 2 where a.key % 3 = 0)
+plain as (select a.line, a.key, b.key as member, 'rank' as way from keys a join keys b on a.line = b.line and abs(a.r - b.r) <= 2 where a.key not in (select shot from shot where sx >= 2000))
 select * from placed union all select * from plain""")
 def superwindow_centroid(spark, sf_dir):
+    """Shots west of the mapped area (sx under 2000) have no centroid and go by rank."""
     gathers = trace_hdr(spark, sf_dir).select("line", F.col("file_id").alias("key"))
-    points = shots(spark, sf_dir).where("shot % 3 > 0").select(F.col("shot").alias("key"), F.col("sx").alias("x"), F.col("sy").alias("y"))
+    points = shots(spark, sf_dir).where("sx >= 2000").select(F.col("shot").alias("key"), F.col("sx").alias("x"), F.col("sy").alias("y"))
     return superwindows.superwindow(gathers, ["line"], "key", points, 2, 700.0).withColumnRenamed("by", "way")
 
 
