@@ -77,9 +77,8 @@ def assembled(rows: DataFrame, keys: list[str], local: str, whole: str, k: Assem
     side = Window.partitionBy(*keys, F.signum("signed")).orderBy(F.abs("signed"), "trace_idx")
     rows = rows.withColumn("rank_on_side", F.row_number().over(side)).withColumn("_kept", kept)
     have = F.when(F.col("_kept").isNotNull(), F.struct(F.col("rank_on_side").alias("r"), F.col("_kept").alias("v")))
-    before = F.last(have, ignorenulls=True).over(side.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(have, ignorenulls=True).over(side.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumns({"_b": before, "_a": after})
+    near = [have, [*keys, F.signum("signed")], [F.abs("signed"), F.col("trace_idx")], 1]
+    rows = rows.withColumn("_a", gathers.next_after(*near)).withColumn("_b", gathers.last_before(*near))
     share = (F.col("rank_on_side") - F.col("_b.r")) / (F.col("_a.r") - F.col("_b.r"))
     between = F.when(F.col("_b.v") <= F.col("_a.v"), (1 - share) * F.col("_b.v") + share * F.col("_a.v"))
     as_it_is = F.col("_kept").isNotNull() | F.coalesce(F.col("signed") == 0, F.lit(False))
