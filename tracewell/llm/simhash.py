@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_texts, materialize, partitions, table
+from tracewell.llm.common import map_texts, materialize, table
 from tracewell.llm.components import components
 
 SEED = 42
@@ -44,6 +44,8 @@ DISTANCE = 2
 #: Fingerprints of a range of the index, about, and of a small index.
 RANGE = 50_000
 LEAST = 1000
+#: Ranges of an index too small for more: a fingerprint goes to more ranges the more there are, so their number is not the cluster's.
+FEW = 16
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words hashed at once.
 WORDS = 1 << 16
@@ -144,7 +146,7 @@ def stars(own: np.ndarray, come: np.ndarray) -> np.ndarray:
 def ranges(fps: DataFrame) -> DataFrame:
     """(part, fp): distinct fingerprints dealt into ranges of Gray rank."""
     n = fps.count()
-    count = max(n // RANGE, min(partitions(fps.sparkSession), n // LEAST), 1)
+    count = max(n // RANGE, min(FEW, n // LEAST), 1)
     rank = F.col("fp")
     for k in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
