@@ -89,3 +89,38 @@ def test_shared_ids_are_settled_by_text(spark):
     rows = [(1, base + " one"), (1, base + " two"), (1, base + " three")]
     kept = {near_copies.keep_one(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(n)).first().text for k in range(3) for n in (1, 3)}
     assert len(kept) == 1
+
+
+def test_gray_index_gives_the_first_candidates(spark, monkeypatch):
+    """Operator 9's fingerprints and index: every text with another within its 2 bits gets a partner within them, and the stage asks them."""
+    from tracewell.llm.simhash import DISTANCE, fingerprint
+
+    rng = random.Random(3)
+    docs = [t for (t,) in table(spark, SF, "documents").select("text").collect() if t and len(t.split()) > 150][:40]
+    rows = [(n, t) for n, t in enumerate(x for d in docs for x in [d, *(replaced(d, one_in, rng) for one_in in (300, 150, 150))])]
+    given = spark.createDataFrame(rows, "_row long, text string").repartition(3)
+    made = near_copies.sketches(given).collect()
+    assert {r.print % (1 << 64) for r in made} == {fingerprint(t) for _, t in rows}
+    prints = {r.node: r.print for r in made}
+    apart = lambda x, y: bin((prints[x] ^ prints[y]) % (1 << 64)).count("1")
+    pairs = near_copies.gray_pairs(spark.createDataFrame(list(prints.items()), "node long, print long")).collect()
+    assert all(apart(r.u, r.v) <= DISTANCE and r.u < r.v for r in pairs)
+    want = {x for x in prints for y in prints if x != y and apart(x, y) <= DISTANCE}
+    assert len(want) > 20
+    assert {x for r in pairs for x in r} == want
+    asked = []
+    monkeypatch.setattr(near_copies, "gray_pairs", lambda nodes, f=near_copies.gray_pairs: asked.append(1) or f(nodes))
+    roots = {r["_row"]: r.root for r in near_copies.near_copies(given).collect()}
+    want = brute_force(rows)
+    assert asked
+    assert all((roots[x] == roots[y]) == (want[x] == want[y]) for x in roots for y in roots)
+
+
+def test_stage_leaves_its_rows_and_what_it_kept_only(spark):
+    from tracewell.llm import common
+
+    given = spark.createDataFrame([(k, " ".join(f"w{i + k // 3}" for i in range(60))) for k in range(30)], "doc_id long, text string")
+    with common.scratch(spark):
+        kept = near_copies.keep_one(given)
+        assert sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._written) == ["kept", "rows"]
+        assert {r.doc_id for r in kept.collect()} <= set(range(0, 30, 3))

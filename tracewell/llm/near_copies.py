@@ -1,16 +1,22 @@
 """The pipeline's near-duplicate stage: texts whose 5-word shingle sets have a
 Jaccard similarity of 0.8 or more are linked; one row of each component stays.
 
-At similarity 0.8 two 64-bit fingerprints differ in about 10 bits, and in up to
-20 now and then: segments of their bits that are sure to agree would be 3 bits
-long. So the segments are taken from the shingles instead: the least of each of
-BANDS * ROWS hash orders, ROWS of them a segment. A pair at 0.8 misses all
-segments with a chance of 3 in a million, a closer pair with less.
-
-1. Rows with equal shingle sets (64-bit hash) are one node.
-2. Nodes meet by segment. In a bucket of up to SMALL nodes all pairs within WIDE
-   bits of their SimHash fingerprints are candidates; in a larger one only those
-   with the node next to the bucket's majority fingerprint.
+Operator 9 comes first: its SimHash fingerprints, searched by its Gray-order
+index, give the candidates within its 2 bits. What they miss is found after it
+and only between components that it left apart: at similarity 0.8 two 64-bit
+fingerprints differ in about 10 bits, and in up to 20 now and then, which no
+index of their bits can bound. So the rest meets by segments of the shingles:
+the least of each of BANDS * ROWS hash orders, ROWS of them a segment. A pair at
+0.8 misses all segments with a chance of 3 in a million, a closer pair with less.
+
+1. Rows with equal shingle sets (64-bit hash) are one node. A node and the least
+   one of its fingerprint (operator 9's), and the least nodes of a fingerprint and
+   of the least and the nearest one that the Gray index finds near it, are
+   candidates; checked as in 3 they give the first components.
+2. Nodes meet by segment. In a bucket of up to SMALL nodes all pairs of different
+   components within WIDE bits of the fingerprints of their shingle sets are
+   candidates; in a larger one only those with the node next to the bucket's
+   majority fingerprint.
 3. Candidates are checked exactly, on the texts; what holds gives components.
 4. In a larger bucket the nodes outside its greatest component are then compared
    with the nodes of other components by a finer sketch of 512 shingle minima: first
@@ -39,9 +45,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_texts, materialize, partitions, restored, shielded
+from tracewell.llm.common import map_texts, materialize, partitions, restored, settled, shielded
 from tracewell.llm.components import components
-from tracewell.llm.simhash import LOWER, SEED
+from tracewell.llm.simhash import LOWER, SEED, fingerprint, links, nearest
 
 SHINGLE = 5
 #: Jaccard similarity from which texts are linked, as a fraction.
@@ -92,7 +98,7 @@ def sketch(h: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """_row, node (hash of the shingle set), fp, bands."""
+    """_row, node (hash of the shingle set), print (operator 9's fingerprint), fp, bands."""
 
     def prepare() -> Callable:
         import xxhash
@@ -101,31 +107,41 @@ def sketches(rows: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in texts]
             node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
             made = [sketch(h) for h in sets]
-            return None, [node, np.array([m[0] for m in made], np.int64), [m[1] for m in made]]
+            prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            return None, [node, prints, np.array([m[0] for m in made], np.int64), [m[1] for m in made]]
 
         return work
 
-    return map_texts(rows, ["_row"], prepare, "node long, fp long, bands array<long>")
+    return map_texts(rows, ["_row"], prepare, "node long, print long, fp long, bands array<long>")
+
+
+def gray_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct (u, v), u < v: nodes (node, print) whose fingerprints operator 9's index finds equal or near."""
+    prints = materialize(nodes.groupBy("print").agg(F.min("node").alias("first")), "prints")
+    same = nodes.join(prints, "print").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    one, two = (prints.select(F.col("print").alias(p), F.col("first").alias(n)) for p, n in (("u", "a"), ("v", "b")))
+    met = links(prints.select(F.col("print").alias("fp")), nearest).join(one, "u").join(two, "v")
+    return same.unionByName(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= WIDE
 
 
-def _first(node: np.ndarray, fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of every bucket: all pairs of a small one, a star in a large one."""
+def _first(node: np.ndarray, fp: np.ndarray, root: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of every bucket, of different components: all pairs of a small one, a star in a large one."""
     for n in range(2, SMALL + 1):
         at = starts[sizes == n]
         for i in range(n):
             for j in range(i):
-                near = _near(fp[at + i], fp[at + j])
+                near = _near(fp[at + i], fp[at + j]) & (root[at + i] != root[at + j])
                 yield node[at + i][near], node[at + j][near]
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        f, x = fp[s : s + n], node[s : s + n]
+        f, x, r = fp[s : s + n], node[s : s + n], root[s : s + n]
         bits = np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         middle = np.packbits(2 * bits > n, bitorder="little").view("<i8")[0]
         c = int(np.lexsort((x, np.bitwise_count((f ^ middle).view(np.uint64))))[0])
-        near = _near(f, f[c])
+        near = _near(f, f[c]) & (r != r[c])
         yield x[near], np.full(int(near.sum()), x[c])
 
 
@@ -178,14 +194,14 @@ def _apart(most: int | None, bucket: np.ndarray, node: np.ndarray, fp: np.ndarra
 
 
 def candidates(buckets: DataFrame, most: int | None = None) -> DataFrame:
-    """Distinct (u, v), u < v; buckets: bucket, node, fp and, after the first round, root, digits and bands."""
+    """Distinct (u, v), u < v; buckets: bucket, node, fp, root and, after the first round, digits and bands."""
     names = buckets.columns[1:]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def work(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pd.DataFrame]:
             starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
             sizes = np.diff(np.append(starts, len(bucket)))
-            for a, b in _apart(most, bucket, *columns, starts, sizes) if len(columns) > 2 else _first(*columns, starts, sizes):
+            for a, b in _apart(most, bucket, *columns, starts, sizes) if len(columns) > 3 else _first(*columns, starts, sizes):
                 u, v = np.minimum(a, b), np.maximum(a, b)
                 yield pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
@@ -220,19 +236,33 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+
+
+def _texts(rows: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """node, text of the nodes met."""
+    return nodes.join(met.distinct(), "node", "left_semi").select("node", "_row").join(rows, "_row").select("node", "text")
+
+
 def near_copies(rows: DataFrame) -> DataFrame:
     """(_row, root) of every row of rows (_row, text): equal roots are one component."""
     made = materialize(sketches(rows), "sketches")
     nodes = made.join(made.groupBy("node").agg(F.min("_row").alias("_row")), ["node", "_row"])
     nodes = materialize(nodes, "nodes")
+    tried = materialize(gray_pairs(nodes.select("node", "print")), "gray-pairs")
+    texts = materialize(_texts(rows, nodes, _ends(tried)), "texts")
+    found = materialize(verified(tried, texts), "alike")
+    group = components(found)
+    buckets = nodes.join(group, "node", "left").select(F.explode("bands").alias("bucket"), "node", "fp", F.coalesce("root", "node").alias("root"))
+    first = materialize(candidates(buckets).join(tried, ["u", "v"], "left_anti"), "candidates")
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node", "fp")
-    tried = materialize(candidates(buckets), "candidates")
     large = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("bucket")
     crowded = materialize(buckets.join(large, "bucket"), "crowded")
-    met = tried.select(F.col("u").alias("node")).unionByName(tried.select(F.col("v").alias("node"))).unionByName(crowded.select("node")).distinct()
-    texts = materialize(nodes.join(met, "node", "left_semi").select("node", "_row").join(rows, "_row").select("node", "text"), "texts")
-    links = materialize(verified(tried, texts), "alike")
-    group = components(links)
+    texts = materialize(_texts(rows, nodes, _ends(first).unionByName(crowded.select("node"))), "texts")
+    tried = tried.unionByName(first)
+    found = found.unionByName(materialize(verified(first, texts), "alike"))
+    group = components(found)
     fine = digits(texts.join(crowded.select("node").distinct(), "node", "left_semi"))
     fine = materialize(fine.join(nodes.select("node", "bands"), "node"), "digits")
     for most in NEAREST:
@@ -241,15 +271,18 @@ def near_copies(rows: DataFrame) -> DataFrame:
         late = materialize(verified(more, texts), "alike")
         tried = tried.unionByName(more)
         if not late.isEmpty():
-            links = links.unionByName(late)
-            group = components(links)
+            found = found.unionByName(late)
+            group = components(found)
     return made.select("_row", "node").join(group, "node", "left").select("_row", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component; the columns of docs."""
     rows = materialize(shielded(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    group = near_copies(rows.select("_row", "text")).join(rows.select("_row", "doc_id", F.xxhash64("text").alias("_hash")), "_row")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row"))
-    kept = group.groupBy("root").agg(least.alias("least")).select("least._row")
-    return restored(rows.join(kept, "_row", "left_semi"), docs)
+
+    def kept() -> DataFrame:
+        group = near_copies(rows.select("_row", "text")).join(rows.select("_row", "doc_id", F.xxhash64("text").alias("_hash")), "_row")
+        return group.groupBy("root").agg(least.alias("least")).select("least._row")
+
+    return restored(rows.join(settled(docs.sparkSession, "kept", kept), "_row", "left_semi"), docs)

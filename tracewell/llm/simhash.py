@@ -143,6 +143,26 @@ def stars(own: np.ndarray, come: np.ndarray) -> np.ndarray:
     return out[out[:, 0] != out[:, 1]]
 
 
+def nearest(own: np.ndarray, come: np.ndarray) -> np.ndarray:
+    """Rows (fingerprint, another within DISTANCE of it) of those that came or are a range's own: its least and its nearest one."""
+    index = GrayIndex(own[np.argsort(gray_rank(own), kind="stable")])
+    every, at = np.unique(np.concatenate([own, come]), return_inverse=True)
+    node_at, come_at = np.searchsorted(every, index.levels[0][0]), at[len(own) :]
+    signed = every.view(np.int64)
+    least, best, bits = signed.copy(), signed.copy(), np.full(len(every), DISTANCE + 1)
+    for q, node in index.near(come):
+        a, b = np.concatenate([come_at[q], node_at[node]]), np.concatenate([node_at[node], come_at[q]])
+        a, b = a[a != b], b[a != b]
+        np.minimum.at(least, a, signed[b])
+        apart = np.bitwise_count(every[a] ^ every[b])
+        order = np.lexsort((signed[b], apart, a))
+        first = order[np.append(True, np.diff(a[order]) > 0)[: len(a)]]
+        first = first[apart[first] < bits[a[first]]]
+        best[a[first]], bits[a[first]] = signed[b[first]], apart[first]
+    out = np.concatenate([np.stack([signed, x], axis=1) for x in (least, best)])
+    return out[out[:, 0] != out[:, 1]]
+
+
 def ranges(fps: DataFrame) -> DataFrame:
     """(part, fp): distinct fingerprints dealt into ranges of Gray rank."""
     n = fps.count()
@@ -162,8 +182,8 @@ def upper_nodes(dealt: DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": np.array([r.part for r in found], np.int64), "bits": ones, "mask": ones | zeros})
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(u, v): links that connect all distinct fingerprints within DISTANCE bits."""
+def links(fps: DataFrame, found: Callable[[np.ndarray, np.ndarray], np.ndarray] = stars) -> DataFrame:
+    """(u, v): links that connect all distinct fingerprints within DISTANCE bits; with nearest, every link joins two of them."""
     dealt = ranges(fps)
     upper = upper_nodes(dealt)
     shared = dealt.sparkSession.sparkContext.broadcast(tuple(upper[c].to_numpy() for c in upper.columns))
@@ -184,7 +204,7 @@ def links(fps: DataFrame) -> DataFrame:
 
         def work(came: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
             own = np.unique(fp[came == 0].view(np.uint64))
-            return pd.DataFrame(stars(own, np.unique(fp.view(np.uint64))), columns=["u", "v"])
+            return pd.DataFrame(found(own, np.unique(fp.view(np.uint64))), columns=["u", "v"])
 
         for b in batches:
             rest = [np.concatenate([x, b[c].to_numpy(np.int64)]) for x, c in zip(rest, ("part", "came", "fp"), strict=True)]
