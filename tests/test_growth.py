@@ -44,3 +44,23 @@ def test_bands_are_hidden_in_the_task_that_holds_the_tile(spark):
     out = statics.striped(rows, ["k"], 2, lambda x: x + x.sum(axis=0))
     assert "generate" not in plan(out)
     assert {r["rank"]: r.samples for r in out.collect()} == {0: [9.0, 3.0], 1: [9.0, 3.0], 2: [5.0, 3.0], 3: [5.0, 3.0], 4: [6.0, 4.0]}
+
+
+def test_view_rows_are_joined_once(spark):
+    rows = [(k, i, n, 10 * i + 1, float(i * i)) for k, n in ((1, 1), (2, 2), (3, 7), (4, 30)) for i in range(n)]
+    given = spark.createDataFrame(rows, "k long, rank long, n long, fb long, offset_m double")
+    from tracewell.operators import picks
+
+    for flip, factor in ((True, 1.1), (False, 1.1), (True, 0.7), (False, 0.7)):
+        out = picks.projected(given, ["k"], flip, factor, 1.0, 0, 512)
+        assert plan(out).count("join inner") == 1 and "generate" not in plan(out)
+        got = {(r.k, r.row): (r.fb_view, round(r.offset_view, 6)) for r in out.collect()}
+        assert len(got) == len(rows)
+        for k, i, n, *_ in rows:
+            end = n - 1
+            at = end * 0.5 + (i - end * 0.5) / factor
+            held = min(max(at, 0.0), float(end))
+            turn = lambda j: end - min(max(int(j), 0), end) if flip else min(max(int(j), 0), end)  # noqa: B023, E731
+            near, low, high = turn((at + 0.5) // 1), turn(held // 1), turn(held // 1 + 1)
+            share = held - held // 1
+            assert got[k, i] == (10 * near + 1, round((1 - share) * low * low + share * high * high, 6))
