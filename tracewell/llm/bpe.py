@@ -1,10 +1,12 @@
 """Operator 4: BPE encoding and decoding by batched numpy merge rounds.
 
 The symbols of many distinct words lie in one flat array. A round looks every
-neighbouring pair up by binary search over the sorted pair keys, takes the
+neighbouring pair up (by table, or by binary search over the sorted pair keys if
+a merge has made it), takes the
 lowest rank of each word and merges all its occurrences, left to right; words
-without a known pair leave the array. Encoded words are remembered in a bounded
-cache, so a batch only merges words it has not met.
+without a known pair leave the array. No word spans white space: stretches without
+it are remembered with their ids in a bounded cache, so a batch only splits and merges those it
+has not met.
 
 The vocabulary file is a tokenizers JSON file (path is a parameter): NFC, lower
 case, a split pattern, bytes shown as characters and a word-end suffix.
@@ -23,7 +25,10 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import compress, islice
 
 import numpy as np
 import regex
@@ -32,9 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm.common import map_texts, table
 
 NONE = np.iinfo(np.int32).max
-CACHE_WORDS = 200_000
+#: Above so many stretches or characters a coder forgets those not met again.
+CACHE_WORDS, CACHE_CHARS = 400_000, 8_000_000
 #: Characters encoded at once, at least; a text is cut after as many.
-PIECE = 1 << 20
+PIECE = 1 << 22
 
 
 def byte_characters() -> list[str]:
@@ -59,51 +65,75 @@ class WordBpe:
         for token, i in (vocab | self.special).items():
             self.tokens[i] = token
         chars = byte_characters()
-        self.inner = np.array([vocab[c] for c in chars], np.int64)
-        self.last = np.array([vocab[c + end] for c in chars], np.int64)
+        self.base = np.array([vocab[c] for c in chars] + [vocab[c + end] for c in chars], np.int64)  # bytes, then bytes at a word's end
         merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
         keys = np.array([vocab[a] * self.n + vocab[b] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made[order]
+        self.keys, self.ranks, self.made = keys[order], np.append(order, NONE).astype(np.int32), made[order]
+        self.pairs = self._pair(np.repeat(self.base, 512), np.tile(self.base, 512))
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.space = regex.compile(r"\s+")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.none = np.zeros(0, np.int64)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__  # the next number for an unknown word
         self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.digits: list[str] = []
-        for token, i in self.special.items():
-            self._add([token], np.array([i], np.int32), np.ones(1, np.int64))
-
-    def _add(self, words: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
-        starts = len(self.flat) + np.cumsum(lens) - lens
-        for w in words:
-            self.known[w] = len(self.known)
+        self.chars, self.again = 0, np.zeros(0, bool)
+        # no other key holds a space
+        self._store([self.known[" " + t] for t in self.special], np.array([*self.special.values()], np.int32), np.ones(len(self.special), np.int64))
+
+    def _forget_unused(self) -> None:
+        """Keep what was met again in a later batch, if that is less than half of what may be known."""
+        keep = self.again
+        keep[: len(self.special)] = True
+        words, index = list(compress(self.known, keep.tolist())), np.flatnonzero(keep)
+        flat, lens = self.ids(index), self.lens[index]
+        self.forget()
+        if 2 * len(words) <= CACHE_WORDS and 2 * sum(map(len, words)) <= CACHE_CHARS:
+            self.chars = sum(map(len, words))
+            self._store([self.known[w] for w in words], flat, lens)
+
+    def _store(self, index: list[int] | np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
+        """The ids of known words, by their numbers."""
+        more = np.zeros(len(self.known) - len(self.lens), np.int64)
+        self.starts, self.lens = np.append(self.starts, more), np.append(self.lens, more)
+        self.again = np.append(self.again, more > 0)
+        self.starts[index], self.lens[index] = len(self.flat) + np.cumsum(lens) - lens, lens
+        self.flat = np.append(self.flat, flat.astype(np.int32))
         if self.shown:
-            shown = list(map(str, flat.tolist()))
-            at = np.cumsum(lens).tolist()
-            self.digits += [" ".join(shown[a:b]) for a, b in zip([0, *at], at, strict=False)]
-        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-        self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
+            self.digits += [""] * len(more)
+            shown, at = list(map(str, flat.tolist())), np.cumsum(lens).tolist()
+            for k, start, end in zip(index, [0, *at], at, strict=False):
+                self.digits[k] = " ".join(shown[start:end])
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs among the keys; that of no key is behind the last."""
+        key = left * self.n + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, len(self.keys)).astype(np.int32)
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, one after another, and the number of ids of each."""
+        """Ids of all words, one after another, and the number of ids of each.
+
+        Pairs of bytes are looked up in a table, later only those that a merge has made.
+        """
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         size = np.array([len(x) for x in raw], np.int64)
-        buf = np.frombuffer(b"".join(raw), np.uint8)
-        sym = self.inner[buf]
-        ends = np.cumsum(size) - 1
-        sym[ends] = self.last[buf[ends]]
-        word = np.repeat(np.arange(len(words)), size)
-        done_word, done_sym = [], []
+        code = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
+        code[np.cumsum(size) - 1] += 256
+        sym = self.base[code]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        none = len(self.keys)
+        at = np.append(np.where(word[:-1] == word[1:], self.pairs[code[:-1] * 512 + code[1:]], none), none).astype(np.int32)
+        done_word, done_sym = [word[:0]], [sym[:0]]
         while len(sym):
-            key = sym[:-1] * self.n + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank = np.append(np.where(known, self.ranks[at], NONE), NONE).astype(np.int32)
+            rank = self.ranks[at]
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(rank, first)
             length = np.diff(np.append(first, len(sym)))
@@ -119,30 +149,61 @@ class WordBpe:
             sym[hit] = self.made[at[hit]]
             keep = ~over
             keep[hit + 1] = False
-            sym, word = sym[keep], word[keep]
+            moved = np.cumsum(keep)[hit] - 1
+            sym, word, at = sym[keep], word[keep], at[keep]
+            changed = np.concatenate([moved, moved[moved > 0] - 1])
+            inside = changed[changed + 1 < len(sym)]
+            inside = inside[word[inside] == word[inside + 1]]
+            at[changed] = none
+            at[inside] = self._pair(sym[inside], sym[inside + 1])
         word, sym = np.concatenate(done_word), np.concatenate(done_sym)
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.int32), np.bincount(word, minlength=len(words))
 
     def words(self, text: str) -> list[str]:
+        """Stretches without white space, in which all words lie; special tokens behind a space."""
         out: list[str] = []
         for k, part in enumerate(self.cut.split(text) if "<|" in text else [text]):
             if k % 2:
-                out.append(part)
+                out.append(" " + part)
             elif part:
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # each character alone: no final sigma
-                out += self.pattern.findall(part)
+                # str.split also takes these four, which are no white space to the pattern
+                out += filter(None, self.space.split(part)) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
         return out
 
-    def index(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Cache positions of the words of each text; unknown words are merged first."""
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
-        new = list(set().union(*texts).difference(self.known))
+    def index(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """Cache positions of the stretches of each text; the words of unknown ones are merged first."""
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self._forget_unused()
+        old, get = len(self.known), self.known.__getitem__
+        out = [np.fromiter(map(get, t), np.int64, len(t)) for t in map(self.words, texts)]
+        met = np.concatenate([self.none, *out])
+        self.again[met[met < old]] = True
+        new = list(islice(self.known, old, None))
         if new:
-            self._add(new, *self.merge(new))
-        get = self.known.__getitem__
-        return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
+            self._learn(new, old)
+        return out
+
+    def _learn(self, new: list[str], old: int) -> None:
+        """The ids of stretches, numbered from old on, are those of their words."""
+        several = [k for k, s in enumerate(new) if not (s.isascii() and s.isalpha())]
+        sizes, inner = [], []
+        for k in several:
+            found = self.pattern.findall(new[k])
+            sizes.append(len(found))
+            if len(found) != 1:
+                inner += map(self.known.__getitem__, found)
+        words = list(islice(self.known, old, None))
+        self.chars += sum(map(len, words))
+        several, sizes = np.array(several, np.int64), np.array(sizes, np.int64)
+        several, sizes = several[sizes != 1], sizes[sizes != 1]
+        single = np.delete(np.arange(len(words)), several)
+        self._store(old + single, *self.merge([words[k] for k in single.tolist()]))
+        inner = np.array(inner, np.int64)
+        self.again[inner[inner < old]] = True
+        upto, ends = np.append(0, np.cumsum(self.lens[inner])), np.cumsum(sizes)
+        self._store(old + several, self.ids(inner), upto[ends] - upto[ends - sizes])
 
     def ids(self, index: np.ndarray) -> np.ndarray:
         lens = self.lens[index]
@@ -156,6 +217,12 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+@lru_cache(maxsize=1)
+def coder(path: str, shown: bool) -> WordBpe:
+    """The coder of a Python worker, whose later tasks find it with the words it knows."""
+    return WordBpe(path, shown)
+
+
 def pieces(text: str) -> Iterator[str]:
     """A long text, cut before ASCII white space."""
     at = 0
@@ -185,14 +252,14 @@ def encode_batch(bpe: WordBpe, texts: list[str | None]) -> list[tuple[np.ndarray
         if t and len(t) > PIECE:
             ids, shown = [], []
             for p in pieces(t):
-                (index,) = bpe.index([bpe.words(p)])
+                (index,) = bpe.index([p])
                 ids.append(bpe.ids(index))
                 shown += bpe.decimal(index)
             out.append((np.concatenate(ids), shown))
         else:
             out.append(t or "")
     short = [k for k, t in enumerate(out) if isinstance(t, str)]
-    for k, index in zip(short, bpe.index([bpe.words(out[k]) for k in short]), strict=True):
+    for k, index in zip(short, bpe.index(out[k] for k in short), strict=True):
         out[k] = (bpe.ids(index), bpe.decimal(index))
     return out
 
@@ -202,7 +269,7 @@ def tokenize(docs: DataFrame, path: str, keep_ids: bool = False, keep_text: bool
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
 
     def prepare() -> Callable:
-        bpe = WordBpe(path)
+        bpe = coder(path, True)
 
         def work(texts: list[str | None]) -> tuple[None, list]:
             rows = []

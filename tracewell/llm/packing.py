@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.bpe import WordBpe, encode_batch, groups, vocabulary
+from tracewell.llm.bpe import coder, encode_batch, groups, vocabulary
 from tracewell.llm.common import map_texts, materialize, salted_rank, table
 
 CAPACITY = 2048
@@ -41,7 +41,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = F
     made = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def prepare() -> Callable:
-        bpe = WordBpe(path, shown=False)
+        bpe = coder(path, False)
 
         def work(texts: list[str | None]) -> tuple[list[int], list]:
             rows = []
