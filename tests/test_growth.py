@@ -64,3 +64,19 @@ def test_view_rows_are_joined_once(spark):
             near, low, high = turn((at + 0.5) // 1), turn(held // 1), turn(held // 1 + 1)
             share = held - held // 1
             assert got[k, i] == (10 * near + 1, round((1 - share) * low * low + share * high * high, 6))
+
+
+def test_sampled_lines_are_tried_in_batches(spark):
+    """Trials run over the arrays of a batch of sections, not as expressions read anew for every row of a section."""
+    rows = [(k, i, 8, 100.0 * i, None if (k, i) == (2, 3) else 0.1 * i + (0.7 if i == 5 else 0.0), 1, 1 + i % 3) for k in range(1, 4) for i in range(8)]
+    given = spark.createDataFrame(rows, "k long, rank long, n long, x double, y double, valid int, w int")
+    out = statics.consensus_trend(given, ["k"], 8, 8, "s", trials=16)
+    assert plan(out).count("arrowevalpython") == 1 and "array_max" not in plan(out)
+    got = {(r.k, r.rank): r for r in out.collect()}
+    assert len(got) == len(rows)
+    for k, i, *_ in rows:
+        r = got[k, i]
+        assert r.covered == (k != 2 and i in (1, 2, 3, 4, 6)), (k, i)  # tapers are 0 at the ends; a null leaves no line
+        if r.covered:
+            assert abs(r.trend_t - 0.1 * i) < 1e-9 and abs(r.trend_s - 0.001) < 1e-12
+    assert got[2, 3].trend_t is None and got[2, 3].trend_s == 0
